@@ -20,6 +20,8 @@ CHUNK_BYTES = 4 << 20
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are letters, digits or no ASCII.
+_SOLID = np.array([x >= 128 or chr(x).isalnum() for x in range(256)])
 _powers = np.ones(1, np.uint64)
 
 
@@ -120,8 +122,9 @@ def chunks(column: pa.Array | pa.ChunkedArray, limit: int = CHUNK_BYTES) -> Iter
         i = j
 
 
-def words(c: Chunk, hashed: bool = True, lower: bool = False) -> Words:
-    """The words of a chunk.  lower: A-Z count as a-z in the hashes."""
+def words(c: Chunk, hashed: bool = True, lower: bool = False, trim: bool = False) -> Words:
+    """The words of a chunk.  In the hashes, lower counts A-Z as a-z, and trim
+    leaves out ASCII punctuation at either end of a word that has anything else."""
     b = c.buf
     keep = (b != 32) & ((b < 9) | (b > 13))
     edge = np.zeros(len(b) + 1, bool)
@@ -140,10 +143,21 @@ def words(c: Chunk, hashed: bool = True, lower: bool = False) -> Words:
     if hashed:
         if lower:
             b = np.where((b >= 65) & (b <= 90), b + np.uint8(32), b)
-        h = span_hash(b, start, end - start)
+        left, right = _trimmed(b, start, end) if trim else (start, end)
+        h = span_hash(b, left, right - left)
     return Words(start, end, doc, doc_word, h)
 
 
+def _trimmed(b: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    solid = np.flatnonzero(_SOLID[b])
+    if not len(solid):
+        return start, end
+    i = np.searchsorted(solid, start)
+    j = np.searchsorted(solid, end) - 1
+    some = i <= j
+    return np.where(some, solid[np.minimum(i, len(solid) - 1)], start), np.where(some, solid[j] + 1, end)
+
+
 def grams(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of every k consecutive entries of h (not cut at documents), by doubling."""
     n = len(h) - k + 1
