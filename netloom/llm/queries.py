@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, mixing, quality_classifier, quality_rules, toxicity
+from netloom.llm import bpe, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
 from netloom.llm.store import table
 
 MIX_WEIGHTS = [5, 2, 1]
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.report(table(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -31,7 +35,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
