@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from netloom.llm import bpe, mixing, quality_classifier, quality_rules, substring_dedup, toxicity
+from netloom.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 from netloom.llm.store import table
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -34,8 +34,12 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity)}
+    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
