@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netloom.llm import bpe, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from netloom.llm import ann, bpe, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 from netloom.llm.store import table
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -14,6 +15,10 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.report(table(spark, sf_dir, "documents"))
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"), MIX_WEIGHTS)
 
@@ -39,7 +44,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_ann, op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
