@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netloom.llm import ann, bpe, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
+from netloom.llm import ann, bpe, language_id, license_scan, mixing, ngram_join, quality_classifier, quality_rules, substring_dedup, toxicity
 from netloom.llm.store import table
 
 MIX_WEIGHTS = [5, 2, 1]
@@ -31,6 +31,15 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.report(table(spark, sf_dir, "documents"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = license_scan.scan(license_scan.page_files(table(spark, sf_dir, "pages")))
+    return out.withColumnRenamed("id", "page_id")
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "pages"), language_id.train(table(spark, sf_dir, "documents")))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -44,7 +53,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_substring_dedup, op2_ann, op3_mixing, op4_quality_classifier, op5_bpe, op8_quality_rules, op9_toxicity, op10_ngram_join)}
+    return {f.__name__: f for f in (op1_substring_dedup, op2_ann, op3_mixing, op4_quality_classifier, op5_bpe, op6_license_scan, op7_language_id, op8_quality_rules, op9_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
