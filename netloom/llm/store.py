@@ -1,42 +1,5 @@
-"""Shared-folder tables that cut lineage and survive lost executors."""
+"""Shared-folder tables, as the rest of the package has them."""
 
-from __future__ import annotations
+from netloom.functions.store import shared_dir, stored, table
 
-import os
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-from netloom.functions.ship import ship
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
-    at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not at:
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", "netloom")
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder, and read again."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def release(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes stored tables that nothing reads any more."""
-    jvm = spark._jvm
-    for df in tables:
-        for f in {os.path.dirname(f) for f in df.inputFiles()}:
-            path = jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+__all__ = ["shared_dir", "stored", "table"]
