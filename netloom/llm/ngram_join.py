@@ -311,7 +311,8 @@ def _links(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame
         asked = stored(pairs.groupBy("x", "y").agg(F.sum("found").alias("found"), F.min("ask").alias("ask")).where("found >= ask").select("x", "y"), "join_pairs")
         keys = asked.select("x").union(asked.select("y")).toDF("key").distinct()
         place = known.join(keys, "key").groupBy("key").agg(F.min("id").alias("id"))
-        sets = stored(texts.join(place.select("id").distinct(), "id").select("text").mapInArrow(_whole_sets(k), "key long, items binary").join(keys, "key").dropDuplicates(["key"]), "join_sets")
+        wanted = place.select(F.col("id").alias("wanted")).distinct()
+        sets = stored(texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text").mapInArrow(_whole_sets(k), "key long, items binary").join(keys, "key").dropDuplicates(["key"]), "join_sets")
         both = asked.join(sets.select(F.col("key").alias("x"), F.col("items").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("b")), "y")
         return stored(both.mapInArrow(_verified(percent), "x long, y long"), "join_links")
 
