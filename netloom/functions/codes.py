@@ -7,6 +7,7 @@ import ipaddress
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Bits of a packet's code.
 BITS = {"IPv4": 0, "IPv6": 1, "ICMP": 2, "IGMP": 3, "TCP_SYN": 4, "TCP_ACK": 5, "TCP_FIN": 6, "TCP_RST": 7, "UDP": 8, "UNKNOWN": 9}
@@ -53,13 +54,13 @@ def ip_number(text: Column) -> Column:
     return F.when(ok & F.forall(parts, lambda p: p <= 255), number)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ip6_text(number: pd.Series) -> pd.Series:
     """Text of an IPv6 address given as a decimal string."""
     return number.map(lambda x: None if x is None else str(ipaddress.IPv6Address(int(x))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def ip6_number(text: pd.Series) -> pd.Series:
     """Decimal string of an IPv6 address; null if it isn't one."""
 
