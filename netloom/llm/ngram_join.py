@@ -11,12 +11,13 @@ more.  Each set takes the l, up to MAX_MATCHES, of the least estimated cost:
 a longer prefix reads more postings, but a pair is verified only if it shares
 min(l, l') prefix tokens.
 
-Postings of one token meet in a task; long ones are cut into chunks of CHUNK
-members, of which the pairs are compared, so no task holds an unbounded list.
-Only components are asked for, so pairs known to be in one component are not
-formed: a first round verifies long postings against a few leaders, and the
-second one forms every pair, across components, that shares a prefix token.  No
-link between different components is lost by that.
+The estimate bounds the postings of rare tokens: their pairs are counted, and
+those with enough matches are verified by the whole sets.  A pair that shares a
+frequent prefix token (of many near copies, or of a passage that fills short
+documents) is compared at the first one of them instead.  Such postings are cut
+into chunks of CHUNK members; the pairs of a chunk, or of two chunks, that no
+earlier token compares are verified together, by matrix products within one
+task, which gives at most a link for each member instead of a row for each pair.
 
 Cases: texts that are null or without words have an empty set and are linked
 with nothing; fewer than ``k`` words make one shingle of them all; repeated rows
@@ -33,7 +34,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as S
 
 from netloom.llm import textops as T
 from netloom.llm.mixing import fresh
@@ -48,9 +48,8 @@ MAX_MATCHES = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 30.0
 CHUNK = 4096
-#: Postings longer than this are first compared with LEADERS members only.
-LONG = 32
-LEADERS = 8
+#: Tokens in a chunk's sets, at most (one larger set makes a chunk of its own).
+CHUNK_TOKENS = 2_000_000
 
 
 def sets_of(c: T.Chunk, k: int) -> Iterator[np.ndarray]:
@@ -78,20 +77,19 @@ def set_key(s: np.ndarray) -> int:
     return int(T.mix(np.array([np.add.reduce(T.mix(s * np.uint64(5)), dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64)) or 1 if len(s) else 0
 
 
-def _signed(k: int, sketch: bool):
+def _signed(k: int):
     """(id, set key, set size) of each document, and at a partition's end the blocks of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH_BITS, np.uint8)
+        counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
             keys, sizes = [], []
             for c in T.chunks(batch.column("text")):
                 sets = list(sets_of(c, k))
                 keys += map(set_key, sets)
                 sizes += map(len, sets)
-                if sketch and sets:
-                    at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
-                    counts[at] = np.minimum(counts[at] + n, 255)
+                at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                counts[at] = np.minimum(counts[at] + n, 65_535)
             ids = batch.column("id")
             none = pa.nulls(len(ids))
             yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], ["id", "key", "n", "block", "counts"])
@@ -110,7 +108,7 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64)
     for batch in batches:
         for x in batch.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint8 if len(x.as_py()) == len(total) else np.int64)
+            total += np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * len(total) else np.int64)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
@@ -125,138 +123,216 @@ def sketch_of(blocks: DataFrame) -> np.ndarray:
     return np.minimum(out.ravel(), 1 << 30).astype(np.int32)
 
 
-def prefix(s: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, int]:
-    """The prefix of a set and the matches that it asks for."""
+def prefix(s: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """The prefix of a set, which of its tokens are frequent, and the matches that it asks for."""
     n = len(s)
     need = -(-percent * n // 100)
     estimate = sketch[s >> np.uint64(64 - SKETCH_BITS)]
-    level = np.maximum(0, np.floor(np.log2(np.maximum(estimate, 1) / (2 * mean + 4)) + 1)).astype(np.int64)
+    level = np.ceil(np.log2(np.maximum(estimate / (mean + 5 * np.sqrt(mean) + 8), 1.0))).astype(np.int64)
     order = np.lexsort((s, level))
     cost = np.cumsum(np.maximum(1.0, estimate[order] - mean))
     matches = np.arange(1, min(MAX_MATCHES, need) + 1)
     read = cost[n - need + matches - 1]
     best = int(matches[np.argmin(read * (1 + VERIFY_COST / matches**2))])
-    return s[order[: n - need + best]], best
+    order = order[: n - need + best]
+    return s[order], level[order] > 0, best
 
 
 def _prefixes(k: int, percent: int, sent):
+    """(token, key, n, l, before) of each prefix token; before: for a frequent
+    token the frequent ones ahead of it in the prefix, otherwise null."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
         mean = float(sketch.mean())
         for batch in batches:
-            seen: dict[int, tuple] = {}
+            seen: set[int] = set()
+            parts: list[tuple] = []
             for c in T.chunks(batch.column("text")):
                 for s in sets_of(c, k):
                     if len(s) and (key := set_key(s)) not in seen:
-                        tokens, matches = prefix(s, sketch, mean, percent)
-                        seen[key] = tokens, len(s), matches
-            if seen:
-                size = [len(x[0]) for x in seen.values()]
-                cols = (
-                    np.concatenate([x[0] for x in seen.values()]).view(np.int64), np.repeat(np.array(list(seen), np.int64), size),
-                    np.repeat(np.array([x[1] for x in seen.values()], np.int32), size), np.repeat(np.array([x[2] for x in seen.values()], np.int32), size),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["token", "key", "n", "l"])
+                        seen.add(key)
+                        tokens, frequent, matches = prefix(s, sketch, mean, percent)
+                        first = len(tokens) - int(frequent.sum())  # the order puts them last
+                        raw = tokens[first:].tobytes()
+                        parts.append((tokens, key, len(s), matches, [None] * first + [raw[: 8 * i] for i in range(len(tokens) - first)]))
+            if parts:
+                size = [len(p[0]) for p in parts]
+                cols = [np.concatenate([p[0] for p in parts]).view(np.int64), *(np.repeat(np.array([p[i] for p in parts], t), size) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32)))]
+                before = pa.array([b for p in parts for b in p[4]], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), before], ["token", "key", "n", "l", "before"])
 
     return run
 
 
-MEMBERS = np.dtype([("key", "<i8"), ("n", "<i4"), ("l", "<i4")])
+#: Pairs of documents that share a rare prefix token, and chunks of the documents that share a frequent one.
+MET = "x long, y long, ask int, token long, chunk int, keys binary, sizes binary, counts binary, before binary"
+
+
+def _met(percent: int):
+    """Over rows in order of (token, key)."""
+
+    def pairs(token, key, n, ask) -> pa.RecordBatch:
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])  # copies of a class that were read apart
+        token, key, n, ask = token[new], key[new], n[new], ask[new]
+        xs, ys, asks, gap = [], [], [], 1
+        at = np.arange(len(token))
+        while len(at := at[at + gap < len(token)]) and len(at := at[token[at] == token[at + gap]]):
+            a, b = n[at].astype(np.int64), n[at + gap].astype(np.int64)
+            ok = at[(100 * np.minimum(a, b) >= percent * np.maximum(a, b)) & (key[at] != key[at + gap])]
+            xs.append(np.minimum(key[ok], key[ok + gap]))
+            ys.append(np.maximum(key[ok], key[ok + gap]))
+            asks.append(np.minimum(ask[ok], ask[ok + gap]))
+            gap += 1
+        x, y, ask = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, asks))
+        none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * 4)]
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(ask.astype(np.int32)), *none], NAMES)
+
+    def chunk(token, no, members) -> pa.RecordBatch:
+        keys, sizes, before = zip(*members, strict=True)
+        cols = [np.array(keys, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), np.array([len(b) // 8 for b in before], np.int32).tobytes(), b"".join(before)]
+        none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())]
+        return pa.RecordBatch.from_arrays([*none, pa.array([token], pa.int64()), pa.array([no], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], NAMES)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: tuple | None = None  # rare rows of the last token, which the next batch may continue
+        hot: list = [None, 0, 0, []]  # token, chunk, tokens in its sets, members
+        for batch in batches:
+            rare = batch.column("before").is_null().to_numpy(zero_copy_only=False)
+            cols = [batch.column(x).to_numpy() for x in ("token", "key", "n", "l")]
+            few = [c[rare] for c in cols]
+            if rest is not None:
+                few = [np.concatenate([r, c]) for r, c in zip(rest, few, strict=True)]
+            if len(few[0]):
+                cut = int(np.searchsorted(few[0], few[0][-1]))
+                yield pairs(*(c[:cut] for c in few))
+                rest = tuple(c[cut:] for c in few)
+            many = np.flatnonzero(~rare)
+            before = batch.column("before").take(pa.array(many)).to_pylist()
+            for token, key, n, b in zip(*(c[many].tolist() for c in cols[:3]), before, strict=True):
+                if token != hot[0]:
+                    if len(hot[3]) > (hot[1] == 0):
+                        yield chunk(hot[0], hot[1], hot[3])
+                    hot = [token, 0, 0, []]
+                if hot[3] and hot[3][-1][0] == key:
+                    continue
+                if len(hot[3]) == CHUNK or hot[3] and hot[2] + n > CHUNK_TOKENS:
+                    yield chunk(hot[0], hot[1], hot[3])
+                    hot = [token, hot[1] + 1, 0, []]
+                hot[3].append((key, n, b))
+                hot[2] += n
+        if rest is not None:
+            yield pairs(*rest)
+        if len(hot[3]) > (hot[1] == 0):
+            yield chunk(hot[0], hot[1], hot[3])
+
+    return run
+
+
+NAMES = [x.split()[0] for x in MET.split(", ")]
+
+
+def _opened(keys: bytes, sizes: bytes, counts: bytes, before: bytes) -> tuple:
+    n = np.frombuffer(counts, np.int32)
+    return np.frombuffer(keys, np.int64), np.frombuffer(sizes, np.int32).astype(np.int64), n, np.frombuffer(before, np.int64)
 
-def _posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows in order of (token, key): a row for each chunk of a token's members, none for tokens of one."""
-    token: int | None = None
-    part, chunk = np.zeros(0, MEMBERS), 0
-    for batch in batches:
-        out: list[tuple] = []
-        tokens = batch.column("token").to_numpy()
-        m = np.empty(len(tokens), MEMBERS)
-        for x in ("key", "n", "l"):
-            m[x] = batch.column(x).to_numpy()
-        if len(part) or chunk:
-            tokens = np.concatenate([np.full(len(part), token, np.int64), tokens])
-            m = np.concatenate([part, m])
-        if not len(tokens):
-            continue
-        new = np.ones(len(m), bool)
-        new[1:] = (tokens[1:] != tokens[:-1]) | (m["key"][1:] != m["key"][:-1])
-        tokens, m = tokens[new], m[new]
-        start = np.flatnonzero(np.append(True, tokens[1:] != tokens[:-1]))
-        stop = np.append(start[1:], len(m))
-        several = np.flatnonzero((stop - start > 1) | (tokens[start] == token))
-        for i in several[several < len(start) - 1]:
-            at = chunk if tokens[start[i]] == token else 0
-            for j in range(start[i], stop[i], CHUNK):
-                if at or stop[i] - start[i] > 1:
-                    out.append((tokens[start[i]], at, m[j : min(j + CHUNK, stop[i])].tobytes()))
-                at += 1
-        if tokens[-1] != token:
-            token, chunk = int(tokens[-1]), 0
-        part = m[start[-1] :]
-        while len(part) > CHUNK:  # one row stays, for the comparison with the next batch
-            out.append((token, chunk, part[:CHUNK].tobytes()))
-            part, chunk = part[CHUNK:], chunk + 1
-        yield _chunks(out)
-    if len(part) > 1 or len(part) and chunk:
-        yield _chunks([(token, chunk, part.tobytes())])
-
-
-def _chunks(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([int(r[0]) for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["token", "chunk", "members"])
-
-
-def _candidates(percent: int, leaders: bool):
-    """Pairs (x, y, matches asked for) of a chunk's members, or of two chunks of a token."""
+
+def _needed(a: tuple, b: tuple, same: bool, percent: int) -> np.ndarray:
+    """[a, b]: pairs of fitting sizes that no earlier frequent token compares.  same: a and b are one chunk, each pair counts once."""
+    words, at = np.unique(np.concatenate([a[3], b[3]]), return_inverse=True)
+    sides = []
+    for (keys, _, n, _), places in ((a, at[: len(a[3])]), (b, at[len(a[3]) :])):
+        m = np.zeros((len(keys), max(1, len(words))), np.float32)
+        m[np.repeat(np.arange(len(keys)), n), places] = 1
+        sides.append(m)
+    need = sides[0] @ sides[1].T == 0
+    need &= 100 * np.minimum(a[1][:, None], b[1][None, :]) >= percent * np.maximum(a[1][:, None], b[1][None, :])
+    need &= a[0][:, None] != b[0][None, :]
+    return np.triu(need, 1) if same else need
+
+
+#: Pairs to verify by themselves, or members of a block to verify together.
+PLANNED = "x long, y long, token long, c1 int, c2 int, side int, key long, n int, before binary"
+
+
+def _planned(percent: int):
+    """A chunk's pairs (or two chunks'): by themselves if they are few, or as a block."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = ("keys", "sizes", "counts", "before")
         for batch in batches:
-            xs, ys, asks = [], [], []
-            none = [None] * batch.num_rows
-            other = batch.column("others").to_pylist() if "others" in batch.schema.names else none
-            labels = [batch.column(x).to_pylist() if x in batch.schema.names else none for x in ("labels", "other_labels")]
-            for a, b, la, lb in zip(batch.column("members").to_pylist(), other, *labels, strict=True):
-                m = np.frombuffer(a, MEMBERS)
-                if leaders:
-                    lead = m[np.argsort(T.mix(m["key"].view(np.uint64)))[:LEADERS]]
-                    i, j = np.meshgrid(np.arange(len(m)), np.arange(len(lead)))
-                    i, j, o = i.ravel(), j.ravel(), lead
-                elif b is None:
-                    i, j = np.triu_indices(len(m), 1)
-                    o = m
-                else:
-                    o = np.frombuffer(b, MEMBERS)
-                    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(m)), np.arange(len(o))))
-                p, q = m[i], o[j]
-                ok = (p["key"] != q["key"]) & (100 * np.minimum(p["n"], q["n"]) >= percent * np.maximum(p["n"], q["n"]))
-                if la is not None:
-                    la = np.frombuffer(la, np.int64)
-                    ok &= la[i] != (la if b is None else np.frombuffer(lb, np.int64))[j]
-                p, q = p[ok], q[ok]
-                xs.append(np.minimum(p["key"], q["key"]))
-                ys.append(np.maximum(p["key"], q["key"]))
-                asks.append(np.minimum(p["l"], q["l"]))
-                if sum(map(len, xs)) > 200_000:
-                    yield _pairs(xs, ys, asks)
-                    xs, ys, asks = [], [], []
-            yield _pairs(xs, ys, asks)
+            rows: list[list] = [[] for _ in range(9)]
+            for r in batch.to_pylist():
+                a = _opened(*(r[f] for f in fields))
+                same = r["chunk2"] is None
+                b = a if same else _opened(*(r[f + "2"] for f in fields))
+                need = _needed(a, b, same, percent)
+                i, j = np.nonzero(need)
+                if len(i) <= 4 * (len(a[0]) + len(b[0])):
+                    out = [np.minimum(a[0][i], b[0][j]).tolist(), np.maximum(a[0][i], b[0][j]).tolist(), *[[None] * len(i)] * 7]
+                    for o, v in zip(rows, out, strict=True):
+                        o.extend(v)
+                    continue
+                for side, m, used in ((0, a, need.any(1) | need.any(0) if same else need.any(1)), (1, b, need.any(0)))[: 1 if same else 2]:
+                    ends = np.cumsum(m[2])
+                    for p in np.flatnonzero(used).tolist():
+                        values = (None, None, r["token"], r["chunk"], -1 if same else r["chunk2"], side, int(m[0][p]), int(m[1][p]), m[3][ends[p] - m[2][p] : ends[p]].tobytes())
+                        for o, v in zip(rows, values, strict=True):
+                            o.append(v)
+            types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], [x.split()[0] for x in PLANNED.split(", ")])
 
     return run
 
 
-def _pairs(*cols: list[np.ndarray]) -> pa.RecordBatch:
-    """Pairs of one batch, with the matches found in it."""
-    x, y, ask = (np.concatenate(c) if c else np.zeros(0, np.int64) for c in cols)
-    order = np.lexsort((y, x))
-    x, y, ask = x[order], y[order], ask[order]
-    new = np.ones(len(x), bool)
-    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
-    at = np.flatnonzero(new)
-    found = np.diff(np.append(at, len(x)))
-    return pa.RecordBatch.from_arrays([pa.array(c.astype(t)) for c, t in ((x[at], np.int64), (y[at], np.int64), (ask[at], np.int32), (found, np.int32))], ["x", "y", "ask", "found"])
+def _block(percent: int):
+    """Verifies the pairs of a block by products of 0/1 matrices over the tokens
+    that two or more of its sets hold; gives links that join what is linked."""
+
+    def run(t: pa.Table) -> pa.Table:
+        side = t["side"].to_numpy()
+        parts = []
+        for s in sorted(set(side.tolist())):
+            p = t.filter(pa.array(side == s))
+            before = p["before"].to_pylist()
+            sets = [np.frombuffer(x, np.uint64) for x in p["items"].to_pylist()]
+            parts.append(((p["key"].to_numpy(), p["n"].to_numpy().astype(np.int64), np.array([len(b) // 8 for b in before]), np.frombuffer(b"".join(before), np.int64)), sets))
+        (a, sa), (b, sb) = parts[0], parts[-1]
+        same = len(parts) == 1
+        need = _needed(a, b, same, percent)
+        every = sa if same else sa + sb
+        words, at, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
+        rank = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+        row = np.repeat(np.arange(len(every)), [len(s) for s in every])
+        row, rank = row[rank >= 0], rank[rank >= 0]
+        order = np.argsort(rank, kind="stable")
+        row, rank = row[order], rank[order]
+        shared = np.zeros(need.shape, np.float32)
+        for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 1024):
+            i, j = np.searchsorted(rank, [lo, lo + 1024])
+            m = np.zeros((len(every), 1024), np.float32)
+            m[row[i:j], rank[i:j] - lo] = 1
+            shared += m[: len(sa)] @ (m if same else m[len(sa) :]).T
+        both = shared.astype(np.int64)
+        i, j = np.nonzero(need & (100 * both >= percent * (a[1][:, None] + b[1][None, :] - both)))
+        parent: dict[int, int] = {}
+
+        def find(v: int) -> int:
+            while (p := parent.setdefault(v, v)) != v:
+                parent[v] = parent[p]
+                v = parent[p]
+            return v
+
+        xs, ys = [], []
+        for x, y in zip(a[0][i].tolist(), b[0][j].tolist(), strict=True):
+            if (u := find(x)) != (v := find(y)):
+                parent[u] = v
+                xs.append(x)
+                ys.append(y)
+        return pa.table([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
 
-
-PAIRS = "x long, y long, ask int, found int"
+    return run
 
 
 def _whole_sets(k: int):
@@ -301,59 +377,30 @@ def components(links: DataFrame) -> DataFrame:
 
 def _links(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(documents: id, key, n; links between set keys)."""
-    signed = stored(texts.mapInArrow(_signed(k, True), "id long, key long, n int, block int, counts binary"), "join_signed")
+    signed = stored(texts.mapInArrow(_signed(k), "id long, key long, n int, block int, counts binary"), "join_signed")
     known = signed.where(F.col("block").isNull()).select("id", "key", "n")
     sketch = texts.sparkSession.sparkContext.broadcast(sketch_of(signed.where(F.col("block").isNotNull()).select("block", "counts")))
-    tokens = texts.mapInArrow(_prefixes(k, percent, sketch), "token long, key long, n int, l int")
-    posted = stored(tokens.repartition(F.col("token")).sortWithinPartitions("token", "key").mapInArrow(_posted, "token long, chunk int, members binary"), "join_posted")
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        asked = stored(pairs.groupBy("x", "y").agg(F.sum("found").alias("found"), F.min("ask").alias("ask")).where("found >= ask").select("x", "y"), "join_pairs")
-        keys = asked.select("x").union(asked.select("y")).toDF("key").distinct()
-        place = known.join(keys, "key").groupBy("key").agg(F.min("id").alias("id"))
-        wanted = place.select(F.col("id").alias("wanted")).distinct()
-        sets = stored(texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text").mapInArrow(_whole_sets(k), "key long, items binary").join(keys, "key").dropDuplicates(["key"]), "join_sets")
-        both = asked.join(sets.select(F.col("key").alias("x"), F.col("items").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("b")), "y")
-        return stored(both.mapInArrow(_verified(percent), "x long, y long"), "join_links")
-
-    long = posted.where(F.length("members") > LONG * MEMBERS.itemsize)
-    first = verified(long.select("members").mapInArrow(_candidates(percent, True), PAIRS))
-    roots = components(first).select(F.col("v").alias("key"), "root")
-    labelled = _with_labels(posted, roots)
-    one = labelled.select("members", "labels")
-    two = labelled.alias("p").join(labelled.alias("q").where("chunk > 0"), (F.col("p.token") == F.col("q.token")) & (F.col("p.chunk") < F.col("q.chunk")))
-    two = two.select("p.members", F.col("q.members").alias("others"), "p.labels", F.col("q.labels").alias("other_labels"))
-    pairs = one.mapInArrow(_candidates(percent, False), PAIRS).union(two.mapInArrow(_candidates(percent, False), PAIRS))
-    return known, first.union(verified(pairs))
-
-
-def _with_labels(posted: DataFrame, roots: DataFrame) -> DataFrame:
-    """Adds each member's component label, itself where it has none.  Only the
-    members of long postings can have one, so short ones skip the join."""
-
-    def opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for token, chunk, members in zip(*(batch.column(x).to_pylist() for x in ("token", "chunk", "members")), strict=True):
-                m = np.frombuffer(members, MEMBERS)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(m), token)), pa.array(np.full(len(m), chunk, np.int32)), *(pa.array(np.ascontiguousarray(m[x])) for x in ("key", "n", "l"))],
-                    ["token", "chunk", "key", "n", "l"],
-                )
-
-    def closed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for members, lab in zip(batch.column("m").to_pylist(), batch.column("token"), strict=True):
-                m = np.array([(x["key"], x["n"], x["l"]) for x in members], MEMBERS)
-                rows.append((m.tobytes(), np.array([x["root"] for x in members], np.int64).tobytes()))
-            yield pa.RecordBatch.from_arrays([batch.column("token"), batch.column("chunk"), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())], ["token", "chunk", "members", "labels"])
-
-    long = F.length("members") > LONG * MEMBERS.itemsize
-    flat = posted.where(long).mapInArrow(opened, "token long, chunk int, key long, n int, l int")
-    flat = flat.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
-    grouped = flat.groupBy("token", "chunk").agg(F.collect_list(F.struct("key", "n", "l", "root")).alias("m"))
-    named = grouped.mapInArrow(closed, "token long, chunk int, members binary, labels binary")
-    return stored(named.union(posted.where(~long).select("token", "chunk", "members", F.lit(None).cast("binary"))), "join_labelled")
+    tokens = texts.mapInArrow(_prefixes(k, percent, sketch), "token long, key long, n int, l int, before binary")
+    met = stored(tokens.repartition(F.col("token")).sortWithinPartitions("token", "key").mapInArrow(_met(percent), MET), "join_met")
+    rare = met.where(F.col("x").isNotNull()).groupBy("x", "y").agg(F.count("*").alias("found"), F.min("ask").alias("ask")).where("found >= ask").select("x", "y")
+
+    fields = ["keys", "sizes", "counts", "before"]
+    chunks = met.where(F.col("token").isNotNull()).select("token", "chunk", *fields)
+    none = [F.lit(None).cast("int").alias("chunk2"), *(F.lit(None).cast("binary").alias(f + "2") for f in fields)]
+    others = chunks.where("chunk > 0").select(F.col("token").alias("_t"), F.col("chunk").alias("chunk2"), *(F.col(f).alias(f + "2") for f in fields))
+    two = chunks.join(others, (F.col("token") == F.col("_t")) & (F.col("chunk") < F.col("chunk2"))).drop("_t")
+    wide = chunks.select("*", *none).unionByName(two).repartition(F.col("token"), F.col("chunk"), F.col("chunk2"))
+    planned = stored(wide.mapInArrow(_planned(percent), PLANNED), "join_planned")
+    pairs = stored(rare.union(planned.where(F.col("x").isNotNull()).select("x", "y")).distinct(), "join_pairs")
+    members = planned.where(F.col("key").isNotNull()).drop("x", "y")
+
+    keys = pairs.select("x").union(pairs.select("y")).union(members.select("key")).toDF("key").distinct()
+    wanted = known.join(keys, "key").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id").alias("wanted")).distinct()
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text").mapInArrow(_whole_sets(k), "key long, items binary")
+    sets = stored(found.join(keys, "key").dropDuplicates(["key"]), "join_sets")
+    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("items").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("b")), "y")
+    blocks = members.join(sets, "key").groupBy("token", "c1", "c2").applyInArrow(_block(percent), "x long, y long")
+    return known, stored(both.mapInArrow(_verified(percent), "x long, y long").union(blocks), "join_links")
 
 
 def report(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -54,7 +54,7 @@ def corpus():
     return rows + [(900, None), (901, ""), (902, "a b"), (903, "A B"), (904, "a a a a a a a")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK": 16, "LONG": 6, "LEADERS": 2}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 16}, {"CHUNK_TOKENS": 900}])
 def test_against_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(nj, k, v)
