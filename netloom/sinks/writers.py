@@ -26,8 +26,8 @@ def pca_rows(projected: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def predictions(df: DataFrame, extra: dict[str, str] | None = None) -> DataFrame:
-    """SrcIP, DstIP, extra columns, Pred, Label."""
-    more = [F.col(c).alias(n) for n, c in (extra or {}).items()]
+    """SrcIP, DstIP, extra columns (column -> name), Pred, Label."""
+    more = [F.col(c).alias(n) for c, n in (extra or {}).items()]
     return df.select(codes.dotted(F.col("src_ip")).alias("SrcIP"), codes.dotted(F.col("dst_ip")).alias("DstIP"), *more, F.col("pred").alias("Pred"), F.col("label").alias("Label"))
 
 
