@@ -308,6 +308,7 @@ def _marked(docs: DataFrame, k: int) -> DataFrame:
     met = stored(local.repartition(F.col("a")).sortWithinPartitions("a", "sh", "id", "tie", "pos").mapInArrow(_meet, MARK), "segments_met")
     repeats, contested = met.where(F.col("kind") == REPEAT), met.where(F.col("kind") == CONTESTED)
     hot = contested.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot"))
+    hot = stored(hot, "segments_hot")  # else the leads of a frequent anchor would meet in a task
     contested = contested.join(hot, "a", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
     asked = contested.groupBy("id", "tie").agg(F.collect_list(F.struct("a", "pos", "n", "hot")).alias("asked"))
     sent = texts.join(asked, ["id", "tie"]).select("id", "tie", "text", "asked").mapInArrow(_words_of(k), "a long, id long, tie int, pos int, n int, words binary")
