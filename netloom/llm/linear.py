@@ -150,8 +150,9 @@ def examples(rows: DataFrame, features: Features) -> list[tuple[int, np.ndarray,
                 lists += [x.astype(np.int32).tobytes() for x in np.split(pair & ((1 << features.bits) - 1), cut)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.binary()), batch.column("y")], ["doc_id", "at", "y"])
 
-    got = rows.mapInArrow(made, "doc_id long, at binary, y int").toArrow().to_pylist()
-    out = [(r["doc_id"], np.frombuffer(r["at"], np.int32), r["y"]) for r in got]
+    got = rows.mapInArrow(made, "doc_id long, at binary, y int").toArrow()
+    ids, ys = got["doc_id"].to_pylist(), got["y"].to_pylist()
+    out = [(i, np.frombuffer(at.as_buffer(), np.int32), y) for i, at, y in zip(ids, got["at"], ys, strict=True)]  # views, not copies
     out.sort(key=lambda r: (T.mix(np.array([r[0]], np.int64).view(np.uint64))[0], r[0], len(r[1])))
     return out
 

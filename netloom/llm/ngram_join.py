@@ -42,7 +42,7 @@ from netloom.llm.store import stored
 SHINGLE = 4
 PERCENT = 85
 #: Counters of the frequency sketch: its size does not depend on the corpus.
-SKETCH_BITS = 22
+SKETCH_BITS = 21
 SKETCH_BLOCKS = 64
 MAX_MATCHES = 8
 #: Cost of verifying a candidate, in postings read.
@@ -108,7 +108,8 @@ def _summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     total = np.zeros((1 << SKETCH_BITS) // SKETCH_BLOCKS, np.int64)
     for batch in batches:
         for x in batch.column("counts"):
-            total += np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * len(total) else np.int64)
+            total += np.frombuffer(x.as_py(), np.uint16 if len(x.as_py()) == 2 * len(total) else np.int32)
+    total = np.minimum(total, 1 << 30).astype(np.int32)
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "counts"])
 
 
@@ -117,10 +118,10 @@ def sketch_of(blocks: DataFrame) -> np.ndarray:
     first = blocks.withColumn("salt", F.pmod(F.xxhash64("counts"), F.lit(16)))
     for keys in (["block", "salt"], ["block"]):
         first = first.groupBy(*keys).applyInArrow(_summed, "block int, counts binary")
-    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int64)
+    out = np.zeros((SKETCH_BLOCKS, (1 << SKETCH_BITS) // SKETCH_BLOCKS), np.int32)
     for r in first.collect():  # SKETCH_BLOCKS rows, whatever the corpus
-        out[r["block"]] = np.frombuffer(r["counts"], np.int64)
-    return np.minimum(out.ravel(), 1 << 30).astype(np.int32)
+        out[r["block"]] = np.frombuffer(r["counts"], np.int32)
+    return out.ravel()
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -414,7 +415,7 @@ def _components_of(texts: DataFrame, k: int, percent: int) -> DataFrame:
     classes = known.where("key != 0").groupBy("key").agg(F.min("id").alias("first")).join(roots, "key", "left")
     classes = classes.withColumn("root", F.coalesce("root", "key"))
     names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = classes.join(names, "root").select("key", "component_id")
+    named = stored(classes.join(names, "root").select("key", "component_id"), "join_named")  # else copies of one set would meet in a task
     return known.join(named, "key", "left").withColumn("component_id", F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("component_id")))
 
 
