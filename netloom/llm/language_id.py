@@ -34,6 +34,9 @@ BITS = 15
 TRAIN_TEXTS = 400
 MAX_LANGUAGES = 256
 SMOOTH = 0.05
+#: Pages read at a time, and text whose n-grams are held at once.
+SLICE_ROWS = 1000
+CHUNK_BYTES = 1 << 19
 #: n-grams of a text are not independent: its log-likelihood counts at most as that of so many.
 MAX_GRAMS = 60.0
 #: Pseudo-counts: host towards domain, domain towards all; suffixes and declarations.
@@ -68,25 +71,30 @@ def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Model:
     """Character n-gram models of at most ``bound`` texts of each language: those of the smallest hashed ids."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
     names = sorted(r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES).collect())
-    place = F.xxhash64(F.lit("lang"), F.col("doc_id"), F.col("text"))
-    least = known.groupBy("lang").agg(F.count("*").alias("n"))
-    # a bounded candidate set for each language first, so that a common language fills no task
-    share = known.join(F.broadcast(least), "lang").where(F.pmod(place, F.greatest(F.lit(1), (F.col("n") / (4 * bound)).cast("long"))) == 0)
-    picked = share.groupBy("lang", F.pmod(place, F.lit(16)).alias("part")).agg(F.slice(F.array_sort(F.collect_list(F.struct(place.alias("h"), "text"))), 1, bound).alias("x"))
-    picked = picked.groupBy("lang").agg(F.slice(F.array_sort(F.flatten(F.collect_list("x"))), 1, bound).alias("x")).select("lang", F.explode("x.text").alias("text"))
+    known = known.where(F.col("lang").isin(names)).withColumn("place", F.xxhash64(F.lit("lang"), F.col("doc_id"), F.col("text")))
+    # places only, in parts first, so that a common language fills no task; each list is cut to the bound
+    least = known.select("lang", "place")
+    size = known.groupBy("lang").count().collect()  # at most MAX_LANGUAGES rows
+    for r in size:
+        every = max(1, r["count"] // (8 * bound))
+        least = least.where((F.col("lang") != r["lang"]) | (F.pmod("place", F.lit(every)) == 0))
+    cut = lambda x: F.slice(F.array_sort(x), 1, bound)
+    least = least.groupBy("lang", F.pmod(F.col("place"), F.lit(16)).alias("part")).agg(cut(F.collect_list("place")).alias("x"))
+    least = least.groupBy("lang").agg(cut(F.flatten(F.collect_list("x"))).alias("x")).select("lang", F.explode("x").alias("place"))
+    picked = known.join(F.broadcast(least), ["lang", "place"]).select("lang", "text")  # at most bound places for each language
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS, len(names)), np.int64)
         for batch in batches:
             at = np.array([names.index(x) for x in batch.column("lang").to_pylist()], np.int64)
-            for c in T.chunks(batch.column("text")):
+            for c in T.chunks(batch.column("text"), CHUNK_BYTES):
                 doc, coord = _grams(c)
                 np.add.at(total, (coord, at[c.row0 + doc]), 1)
         yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], ["counts"])
 
     total = np.zeros((1 << BITS, len(names)))
     if names:
-        for r in picked.where(F.col("lang").isin(names)).coalesce(8).mapInArrow(counted, "counts binary").collect():  # eight rows of fixed size
+        for r in picked.coalesce(8).mapInArrow(counted, "counts binary").collect():  # eight rows of fixed size
             total += np.frombuffer(r["counts"], np.int32).reshape(total.shape)
     share = (total + SMOOTH) / (total.sum(0) + SMOOTH * len(total)) if names else total
     return Model(names, np.log(share).astype(np.float32) if names else total.astype(np.float32))
@@ -97,12 +105,12 @@ def _read(model: Model):
         import re
 
         declared = re.compile(r"<html\b[^>]*?\blang\s*=\s*[\"']?\s*([A-Za-z]+)", re.I)
-        for batch in batches:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
             pages = batch.column("html").to_pylist()
             langs = [(m[1].lower() if p and (m := declared.search(p)) else "") for p in pages]
             langs = [x if x in model.languages else "other" if x else "" for x in langs]
             rows = []
-            for c in T.chunks(pa.array([web.visible(p) if p else "" for p in pages], pa.string())):
+            for c in T.chunks(pa.array([web.visible(p) if p else "" for p in pages], pa.string()), CHUNK_BYTES):
                 doc, at = _grams(c)
                 total = np.stack([np.bincount(doc, model.log_likelihood[at, j], minlength=c.n) for j in range(len(model.languages))], 1)
                 n = np.maximum(np.bincount(doc, minlength=c.n), 1)
