@@ -160,7 +160,7 @@ def page_files(pages: DataFrame) -> DataFrame:
     """Pages as files: the path of the address, and the visible text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (b.slice(i, 1000) for b in batches for i in range(0, b.num_rows, 1000)):
             text = pa.array([None if p is None else web.visible(p) for p in batch.column("html").to_pylist()], pa.string())
             yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("path"), text], ["id", "path", "text"])
 
