@@ -61,8 +61,9 @@ def pairwise(arrays: DataFrame) -> DataFrame:
     join holds partitions squared rows, whatever the flows."""
     p = arrays.select(F.col("pid").alias("a"), "dist", F.col("p").alias("pa"))
     q = arrays.select(F.col("pid").alias("b"), "dist", F.col("p").alias("pb"))
-    pairs = p.join(q, "dist").where("a <> b")
-    return pairs.groupBy("a", "b").agg(F.avg(js_truncated(F.col("pa"), F.col("pb"))).alias("js"))
+    half = p.join(q, "dist").where("a < b").groupBy("a", "b").agg(F.avg(js_truncated(F.col("pa"), F.col("pb"))).alias("js"))
+    both = F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"))))
+    return half.select(both.alias("_x"), "js").select("_x.a", "_x.b", "js")
 
 
 def partition_scores(arrays: DataFrame) -> DataFrame:
@@ -87,7 +88,7 @@ def selection(scores: DataFrame) -> DataFrame:
 
     Scores are one row for each partition, a bounded set, so one window holds them."""
     t = threshold(scores)
-    lined = scores.join(F.broadcast(t)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "pid")))
+    lined = scores.join(F.broadcast(t)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("score"), "pid")).cast("long"))
     lined = lined.withColumn("above", F.sum((F.col("score") >= F.col("tau")).cast("int")).over(Window.partitionBy()))
     least, most = F.greatest(F.lit(5), F.floor(F.col("n") / 100)), F.greatest(F.lit(1), F.floor(F.col("n") * 0.1))
     size = F.when(F.col("above") < least, F.least(least, F.col("n"))).when(F.col("above") > most, most).otherwise(F.col("above"))

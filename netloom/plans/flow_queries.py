@@ -22,6 +22,12 @@ def r6(df: DataFrame) -> DataFrame:
 
 # -- sources, over lines given here --
 
+
+def as_big(columns: str, sql: str) -> str:
+    """sql with the columns as BIGINT."""
+    return f"SELECT * REPLACE ({', '.join(f'CAST({c} AS BIGINT) AS {c}' for c in columns.split())}) FROM ({sql})"
+
+
 _FIELDS = ["0"] * 85
 
 
@@ -46,8 +52,8 @@ def _lines(spark: SparkSession, lines: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(lines)), "line_no long, value string")
 
 
-@query("""SELECT * FROM (VALUES (0, 167772161, 167772162, 1234, 80, 6, 1499072100000000, 1499072101500000, 3, 180, 0), (1, 167772161, 167772162, 0, 12, 17, 1499072160000000, 1499072160000000, 1, 60, 1),
-  (2, 167772169, 167772162, 1, 2, 6, 1499072220000000, 1499072220005000, 2, 90, 0)) AS t(line_no, src_ip, dst_ip, src_port, dst_port, proto, start_us, end_us, packets, bytes, label)""")
+@query(as_big("line_no src_ip dst_ip packets bytes", """SELECT * FROM (VALUES (0, 167772161, 167772162, 1234, 80, 6, 1499072100000000, 1499072101500000, 3, 180, 0), (1, 167772161, 167772162, 0, 12, 17, 1499072160000000, 1499072160000000, 1, 60, 1),
+  (2, 167772169, 167772162, 1, 2, 6, 1499072220000000, 1499072220005000, 2, 90, 0)) AS t(line_no, src_ip, dst_ip, src_port, dst_port, proto, start_us, end_us, packets, bytes, label)"""))
 def src3_flow_csv(spark, sf_dir):
     f = readers.parse_flow_lines(_lines(spark, CSV_LINES))
     return f.select("line_no", "src_ip", "dst_ip", "src_port", "dst_port", "proto", F.unix_micros("ts_start").alias("start_us"), F.unix_micros("ts_end").alias("end_us"), "packets", "bytes", "label")
@@ -69,19 +75,19 @@ def src5_label_mapping(spark, sf_dir):
 PACKET_LINES = ["4 167772161 167772162 1234 80 0 17 60", "4 167772161 167772162 1234 80 9000000 33 52", "4 167772161 167772162 1234 80 19000000 65 52", "6 1 2 5353 5353 20000000 258 100", "x bad line", ""]
 
 
-@query("""SELECT * FROM (VALUES (0, '4', 167772161, 167772162, NULL, 1234, 80, 0, 17, 60, 4), (1, '4', 167772161, 167772162, NULL, 1234, 80, 9000000, 33, 52, 4), (2, '4', 167772161, 167772162, NULL, 1234, 80, 19000000, 65, 52, 4),
-  (3, '6', NULL, NULL, '1', 5353, 5353, 20000000, 258, 100, 8), (4, 'bad', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(pkt_idx, kind, src, dst, src6, sport, dport, us, code, len, stack)""")
+@query(as_big("pkt_idx src dst us", """SELECT * FROM (VALUES (0, '4', 167772161, 167772162, NULL, 1234, 80, 0, 17, 60, 4), (1, '4', 167772161, 167772162, NULL, 1234, 80, 9000000, 33, 52, 4), (2, '4', 167772161, 167772162, NULL, 1234, 80, 19000000, 65, 52, 4),
+  (3, '6', NULL, NULL, '1', 5353, 5353, 20000000, 258, 100, 8), (4, 'bad', NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL, NULL)) AS t(pkt_idx, kind, src, dst, src6, sport, dport, us, code, len, stack)"""))
 def src6_packet_text(spark, sf_dir):
     p = readers.parse_packet_lines(_lines(spark, PACKET_LINES))
     return p.select("pkt_idx", "kind", "src", "dst", "src6", "sport", "dport", F.unix_micros("ts").alias("us"), "code", "len", "stack")
 
 
-@query("SELECT * FROM (VALUES (0, 0), (1, 0), (2, 1), (3, 0), (4, 1)) AS t(label_no, label)")
+@query(as_big("label_no", "SELECT * FROM (VALUES (0, 0), (1, 0), (2, 1), (3, 0), (4, 1)) AS t(label_no, label)"))
 def src7_packet_labels(spark, sf_dir):
     return readers.parse_labels(_lines(spark, ["00 x1", "", "0;1"]))
 
 
-@query("""SELECT * FROM (VALUES (167772161, 0, 9000000, 49, 2, 112, 0), (167772161, 19000000, 19000000, 65, 1, 52, 1)) AS t(src, start_us, end_us, code, packets, bytes, label)""")
+@query(as_big("src start_us end_us packets bytes", """SELECT * FROM (VALUES (167772161, 0, 9000000, 49, 2, 112, 0), (167772161, 19000000, 19000000, 65, 1, 52, 1)) AS t(src, start_us, end_us, code, packets, bytes, label)"""))
 def src11_packet_flows(spark, sf_dir):
     packets = O.ipv4(readers.parse_packet_lines(_lines(spark, PACKET_LINES)))
     flows = O.sessionize(O.with_labels(packets, readers.parse_labels(_lines(spark, ["00100"])).withColumnRenamed("label_no", "pkt_idx")), 10_000_000)

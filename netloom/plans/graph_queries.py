@@ -46,7 +46,7 @@ born AS (SELECT ord, row_number() OVER (ORDER BY ord) AS n FROM lives),
 births AS (SELECT e.ord, e.t, count(*) FILTER (lives.ord IS NOT NULL) OVER (ORDER BY e.ord) AS n FROM e LEFT JOIN lives ON e.ord = lives.ord),
 ended AS (SELECT until, count(*) AS n FROM lives GROUP BY until),
 steps AS (SELECT until, sum(n) OVER (ORDER BY until) AS n FROM ended)
-SELECT e.ord, e.edge_count, births.n - coalesce(s.n, 0) AS active_edges FROM e JOIN births ON e.ord = births.ord ASOF LEFT JOIN steps s ON e.t > s.until""")
+SELECT e.ord, e.edge_count, CAST(births.n - coalesce(s.n, 0) AS BIGINT) AS active_edges FROM e JOIN births ON e.ord = births.ord ASOF LEFT JOIN steps s ON e.t > s.until""")
 def grf3_ttl_edges(spark, sf_dir):
     return graph.ttl_state(V.flows(spark, sf_dir, FOLD), V.ORDER, _TTL).select("ord", "edge_count", "active_edges")
 
