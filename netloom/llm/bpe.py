@@ -32,8 +32,8 @@ from pyspark.sql import types as S
 from netloom.llm import textops as T
 
 #: Text that shares one pair index, and distinct pre-tokens kept between groups.
-GROUP_BYTES = 32 << 20
-KEPT_TOKENS = 1 << 20
+GROUP_BYTES = 8 << 20
+KEPT_TOKENS = 1 << 19
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _kinds: np.ndarray | None = None

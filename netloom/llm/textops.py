@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 2 << 20
 
 _BASE = np.uint64(0xD1342543DE82EF95)
 _GRAM = np.uint64(0x9E3779B97F4A7C15)
