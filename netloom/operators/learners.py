@@ -19,6 +19,8 @@ from netloom.config import DbstreamConfig, IForestConfig, KMeansConfig
 from netloom.functions.store import stored
 
 EULER = 0.5772156649015329
+#: Columns that DBSCAN compares while it joins; more are compared for the pairs within epsilon on these.
+AHEAD = 20
 
 
 def expected_path(n: Column) -> Column:
@@ -159,8 +161,10 @@ def fit_kmeans(df: DataFrame, columns: list[str], cfg: KMeansConfig, key: str) -
 def dbscan(df: DataFrame, columns: list[str], epsilon: float, min_points: int, idx: str = "idx") -> DataFrame:
     """df with cluster: the smallest core idx of its density-connected component, null for noise.
 
-    Rows fall into cells of side epsilon on their first two varying columns; a
+    Rows fall into cells of side epsilon on the two columns of the largest spread; a
     cell meets itself and its neighbours, so a pair within epsilon meets once.
+    Pairs meet with AHEAD columns at most, whose distance bounds the whole one;
+    those that stay are compared by all columns.
     Equal rows are one weighted point, which keeps copies from forming pairs."""
     point = F.xxhash64(*columns)
     rows = stored(df.select(idx, point.alias("_p"), *columns), "dbscan_rows")
@@ -168,14 +172,21 @@ def dbscan(df: DataFrame, columns: list[str], epsilon: float, min_points: int, i
     spread = points.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
     axes = sorted(columns, key=lambda c: -(spread[c] or 0.0))[:2]
     cell = [F.floor(F.col(c) / epsilon).cast("long") for c in axes]
-    a = points.select("_p", "_w", "_i", F.array(*columns).alias("_x"), *(c.alias(f"_c{i}") for i, c in enumerate(cell)))
+    ahead = columns if len(columns) <= AHEAD else sorted(columns, key=lambda c: -(spread[c] or 0.0))[:AHEAD]
+    a = points.select("_p", "_w", "_i", *(F.col(c).alias(f"_x{i}") for i, c in enumerate(ahead)), *(c.alias(f"_c{i}") for i, c in enumerate(cell)))
     near = F.explode(F.array(*(F.lit(o).cast("long") for o in (-1, 0, 1))))
     b = a
     for i in range(len(axes)):
         b = b.withColumn("_o", near).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_o")).drop("_o")
-    b = b.select(*(F.col(f"_c{i}") for i in range(len(axes))), F.col("_p").alias("_q"), F.col("_w").alias("_v"), F.col("_i").alias("_j"), F.col("_x").alias("_y"))
-    d2 = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-    pairs = stored(a.join(b, [f"_c{i}" for i in range(len(axes))]).where(d2 <= epsilon * epsilon).select("_p", "_w", "_i", "_q", "_v", "_j"), "dbscan_pairs")
+    b = b.select(*(F.col(f"_c{i}") for i in range(len(axes))), F.col("_p").alias("_q"), F.col("_w").alias("_v"), F.col("_i").alias("_j"), *(F.col(f"_x{i}").alias(f"_y{i}") for i in range(len(ahead))))
+    terms = [(F.col(f"_x{i}") - F.col(f"_y{i}")) * (F.col(f"_x{i}") - F.col(f"_y{i}")) for i in range(len(ahead))]
+    room = 1.0 if ahead == columns else 1.0 + 1e-9
+    pairs = a.join(b, [f"_c{i}" for i in range(len(axes))]).where(sum(terms[1:], terms[0]) <= epsilon * epsilon * room).select("_p", "_w", "_i", "_q", "_v", "_j")
+    if ahead != columns:
+        x, y = points.select("_p", F.array(*columns).alias("_x")), points.select(F.col("_p").alias("_q"), F.array(*columns).alias("_y"))
+        d2 = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
+        pairs = stored(pairs, "dbscan_met").join(x, "_p").join(y, "_q").where(d2 <= epsilon * epsilon).select("_p", "_w", "_i", "_q", "_v", "_j")
+    pairs = stored(pairs, "dbscan_pairs")
     core = pairs.groupBy("_p", "_i").agg(F.sum("_v").alias("_n")).where(F.col("_n") >= min_points).select("_p", "_i")
     core = stored(core, "dbscan_core")
     links = pairs.join(core.select("_p"), "_p", "left_semi").join(core.select(F.col("_p").alias("_q")), "_q", "left_semi").select(F.col("_i").alias("u"), F.col("_j").alias("v"))

@@ -16,7 +16,7 @@ from netloom.plans.flow_queries import HOUR
 from netloom.plans.registry import query
 from netloom.streaming import pipelines
 
-XS = [f"x{i}" for i in range(8)]
+XS = [f"x{i}" for i in range(V.DIMENSIONS)]
 
 
 def _vectors(spark, sf_dir) -> DataFrame:

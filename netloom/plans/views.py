@@ -63,8 +63,12 @@ FLOWS = flows_sql()
 SQL_ORDER = ", ".join(ORDER)
 
 
-def vectors(spark: SparkSession, sf_dir: str, d: int = 8) -> DataFrame:
-    """The first d components of the embeddings as columns x0, x1, ..."""
+#: Components of an embedding.
+DIMENSIONS = 64
+
+
+def vectors(spark: SparkSession, sf_dir: str, d: int = DIMENSIONS) -> DataFrame:
+    """The first d components of the embeddings, all by default, as columns x0, x1, ..."""
     e = table(spark, sf_dir, "embeddings")
     return e.select("vec_id", "label", *(F.element_at("embedding", i + 1).cast("double").alias(f"x{i}") for i in range(d)))
 
