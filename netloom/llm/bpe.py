@@ -35,6 +35,9 @@ from netloom.llm import textops as T
 GROUP_BYTES = 8 << 20
 KEPT_TOKENS = 1 << 19
 
+#: Options of a BPE model that change its ids; only their absence is followed.
+MODEL_OPTIONS = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+
 OTHER, LETTER, NUMBER, SPACE = range(4)
 _kinds: np.ndarray | None = None
 
@@ -85,6 +88,11 @@ class Codec:
             d = json.load(f)
         if d["model"]["type"] != "BPE" or d["pre_tokenizer"]["type"] != "ByteLevel" or d["pre_tokenizer"]["add_prefix_space"]:
             raise ValueError("a byte-level BPE tokenizer without prefix space is needed")
+        odd = [f"model.{x}" for x in MODEL_OPTIONS if d["model"].get(x)] + [x for x in ("normalizer", "post_processor") if d.get(x)]
+        odd += ["pre_tokenizer.use_regex"] * (not d["pre_tokenizer"].get("use_regex", True)) + ["decoder"] * ((d.get("decoder") or {}).get("type") != "ByteLevel")
+        odd += [f"added_tokens.{x}" for t in d["added_tokens"] for x in ("single_word", "lstrip", "rstrip", "normalized") if t.get(x)]
+        if odd:
+            raise ValueError(f"settings that this codec does not follow: {', '.join(odd)}")
         vocab, symbols = d["model"]["vocab"], byte_symbols()
         merges = [m if isinstance(m, list) else m.split(" ") for m in d["model"]["merges"]]
         left, right, made = (np.array([vocab[x] for x in xs], np.int64) for xs in ([a for a, _ in merges], [b for _, b in merges], [a + b for a, b in merges]))
@@ -314,7 +322,8 @@ OUTPUTS = {"n_tokens": "long", "ids": "array<int>", "ids_sha256": "string", "dec
 
 
 def encoded(docs: DataFrame, path: str, outputs: dict[str, str], text: str = "text") -> DataFrame:
-    """docs with a column for each of ``outputs``: its name -> one of OUTPUTS."""
+    """docs with a column for each of ``outputs``, its name -> one of OUTPUTS, in place of columns of these names."""
+    kept = [c for c in docs.columns if c.lower() not in {x.lower() for x in outputs}]
     sent = docs.sparkSession.sparkContext.broadcast(Codec.load(path))
     makes = {
         "n_tokens": lambda ids, _: len(ids),
@@ -338,24 +347,25 @@ def encoded(docs: DataFrame, path: str, outputs: dict[str, str], text: str = "te
                         made[name].append(makes[kind](ids, decoded))
                 rows = batch.slice(row, n)
                 row += n
-                yield pa.RecordBatch.from_arrays([*rows.columns, *(pa.array(made[x], types.get(k, pa.string())) for x, k in outputs.items())], [*rows.schema.names, *outputs])
+                yield pa.RecordBatch.from_arrays([*(rows.column(x) for x in kept), *(pa.array(made[x], types.get(k, pa.string())) for x, k in outputs.items())], [*kept, *outputs])
 
-    schema = S.StructType([*docs.schema.fields])
+    schema = S.StructType([docs.schema[x] for x in kept])
     for name, kind in outputs.items():
         schema = schema.add(name, S.ArrayType(S.IntegerType()) if kind == "ids" else OUTPUTS[kind])
     return docs.mapInArrow(run, schema)
 
 
 def decoded(df: DataFrame, path: str, ids: str = "ids", name: str = "decoded") -> DataFrame:
-    """df with the text of each row's array of ids; null ids give null, unknown ids fail."""
+    """df with the text of each row's array of ids, in place of a column ``name``; null ids give null, unknown ids fail."""
+    kept = [c for c in df.columns if c.lower() != name.lower()]
     sent = df.sparkSession.sparkContext.broadcast(Codec.load(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out = [None if x is None else sent.value.decode(np.array(x, np.int32)) for x in batch.column(ids).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), pa.array(out, pa.string())], [*kept, name])
 
-    return df.mapInArrow(run, S.StructType([*df.schema.fields]).add(name, "string"))
+    return df.mapInArrow(run, S.StructType([df.schema[x] for x in kept]).add(name, "string"))
 
 
 def report(docs: DataFrame, path: str | None = None) -> DataFrame:

@@ -7,6 +7,8 @@ sums of the texts' own posteriors, smoothed hierarchically (host towards its
 registered domain, that towards all pages), with the page's own share left out.
 The likelihoods of declarations and suffixes come from grouped sums as well.
 
+More than MAX_LANGUAGES language labels raise an error: none is left out silently.
+
 Cases: a null or empty page has no text evidence; a null address counts as the
 host of no name; an undeclared or unknown language is a declaration of its own;
 ties go to the language first in code-point order; repeated rows are scored
@@ -24,13 +26,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.store import stored
 from netloom.llm import textops as T
 from netloom.llm import web
-from netloom.llm.store import stored
+from netloom.llm.joins import by_key
 
 ORDERS = (1, 2, 3)
 BITS = 15
-#: At most so many texts of each language train the text models, and at most so many languages.
+#: At most so many texts of each language train the text models; more labels than MAX_LANGUAGES are no languages.
 TRAIN_TEXTS = 400
 MAX_LANGUAGES = 256
 SMOOTH = 0.05
@@ -51,12 +54,13 @@ class Model:
 
 def _grams(c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
     """(document, coordinate) of the character n-grams inside words, words padded by a blank."""
-    b = np.where((c.buf >= 65) & (c.buf <= 90), c.buf + np.uint8(32), c.buf)
+    start, b = T.points(c.buf)
+    b = np.where((b >= 65) & (b <= 90), b + np.uint64(32), b)
     blank = (b == 32) | ((b >= 9) & (b <= 13)) | ((b >= 33) & (b <= 64))
-    b = np.where(blank, np.uint8(32), b)
-    h = T.mix(b.astype(np.uint64) + np.uint64(7))
-    doc = np.repeat(np.arange(c.n), np.diff(c.doc_start))
-    left = np.repeat(c.doc_start[1:], np.diff(c.doc_start)) - np.arange(len(b))
+    h = T.mix(np.where(blank, np.uint64(32), b) + np.uint64(7))
+    begin = np.searchsorted(start, c.doc_start)
+    doc = np.repeat(np.arange(c.n), np.diff(begin))
+    left = np.repeat(begin[1:], np.diff(begin)) - np.arange(len(b))
     empty = np.concatenate([[0], np.cumsum(blank)])
     docs, coords = [], []
     for k in ORDERS:
@@ -70,7 +74,9 @@ def _grams(c: T.Chunk) -> tuple[np.ndarray, np.ndarray]:
 def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Model:
     """Character n-gram models of at most ``bound`` texts of each language: those of the smallest hashed ids."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") > 0))
-    names = sorted(r["lang"] for r in known.select("lang").distinct().orderBy("lang").limit(MAX_LANGUAGES).collect())
+    names = sorted(r["lang"] for r in known.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
+    if len(names) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} distinct values of lang")
     known = known.where(F.col("lang").isin(names)).withColumn("place", F.xxhash64(F.lit("lang"), F.col("doc_id"), F.col("text")))
     # places only, in parts first, so that a common language fills no task; each list is cut to the bound
     least = known.select("lang", "place")
@@ -81,7 +87,8 @@ def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Model:
     cut = lambda x: F.slice(F.array_sort(x), 1, bound)
     least = least.groupBy("lang", F.pmod(F.col("place"), F.lit(16)).alias("part")).agg(cut(F.collect_list("place")).alias("x"))
     least = least.groupBy("lang").agg(cut(F.flatten(F.collect_list("x"))).alias("x")).select("lang", F.explode("x").alias("place"))
-    picked = known.join(F.broadcast(least), ["lang", "place"]).select("lang", "text")  # at most bound places for each language
+    picked = known.join(F.broadcast(least), ["lang", "place"])  # at most bound places for each language
+    picked = picked.groupBy("lang", "place").agg(F.min("text").alias("text")).repartition(8, "place")  # repeated rows count once
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((1 << BITS, len(names)), np.int64)
@@ -94,7 +101,7 @@ def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Model:
 
     total = np.zeros((1 << BITS, len(names)))
     if names:
-        for r in picked.coalesce(8).mapInArrow(counted, "counts binary").collect():  # eight rows of fixed size
+        for r in picked.select("lang", "text").mapInArrow(counted, "counts binary").collect():  # eight rows of fixed size
             total += np.frombuffer(r["counts"], np.int32).reshape(total.shape)
     share = (total + SMOOTH) / (total.sum(0) + SMOOTH * len(total)) if names else total
     return Model(names, np.log(share).astype(np.float32) if names else total.astype(np.float32))
@@ -145,7 +152,7 @@ def identify(pages: DataFrame, model: Model) -> DataFrame:
     base = [(x + 1.0) / (n + k) for x in every]
     out = read
     for key, prefix in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m")):
-        out = out.join(read.groupBy(key).agg(*sums(prefix)), key)
+        out = by_key(out, stored(read.groupBy(key).agg(*sums(prefix)), f"language_{key}"), key)
     logs = []
     size = {x: sum((F.col(f"{x}{j}") for j in range(1, k)), F.col(f"{x}0")) for x in "hd"}
     for j in range(k):

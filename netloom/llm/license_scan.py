@@ -27,9 +27,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from netloom.functions.store import stored
 from netloom.llm import textops as T
 from netloom.llm import web
-from netloom.llm.store import stored
+from netloom.llm.joins import by_key
 
 MIN_COSINE = 0.7
 HEADER_LINES = 30
@@ -263,9 +264,9 @@ def scan(files: DataFrame) -> DataFrame:
     dirs = found.where("dir IS NOT NULL").select("dir").distinct()
     parts = F.split("dir", "/")
     up = dirs.select("dir", F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, 1, n), "/"))).alias("ancestor"))
-    nearest = up.join(owners, "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "inherited_license")).alias("x"))
+    nearest = by_key(up, stored(owners, "licenses_owners"), "ancestor").groupBy("dir").agg(F.max(F.struct(F.length("ancestor").alias("n"), "ancestor", "inherited_license")).alias("x"))
     nearest = nearest.select("dir", F.col("x.ancestor").alias("inherited_from"), F.col("x.inherited_license").alias("inherited_license"))
-    out = found.join(nearest, "dir", "left")
+    out = by_key(found, stored(nearest, "licenses_nearest"), "dir", "left")
     none = F.col("own_license").isNull()
     return out.select(
         "id", "path", "own_license", F.round("cosine", 9).alias("cosine"), F.when(none, F.col("inherited_license")).alias("inherited_license"),

@@ -17,8 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
+from netloom.functions.store import stored
 from netloom.llm import textops as T
 
+#: Tasks that make the features of a sample, and the bytes of features that the driver holds at most.
+SAMPLE_TASKS = 16
+TRAIN_BYTES = 100_000_000
+
 
 @dataclass(frozen=True)
 class Features:
@@ -127,14 +132,30 @@ class Model:
 
 def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column | None, bound: int) -> DataFrame:
     """(doc_id, text, y): at most ``bound`` labelled documents, those of the
-    smallest hash of the id.  Rows without an id, text or label take no part; an
-    id labelled twice counts as 1 if any of its rows says so."""
+    smallest hash of the id, over SAMPLE_TASKS tasks.  Rows without an id, text or
+    label take no part; an id labelled twice counts as 1 if any of its rows says
+    so; of rows that repeat an id the text of the smallest hash is learnt."""
     y = labels.where(F.col("doc_id").isNotNull() & F.col(column).isin(0, 1))
     y = y if learn is None else y.where(learn)
+    y = y.groupBy("doc_id").agg(F.max(column).cast("int").alias("y"))
+    texts = docs.where(F.col("text").isNotNull()).select("doc_id", "text")
+    y = y.join(texts.select("doc_id"), "doc_id", "left_semi")  # labels of other documents don't fill the bound
+    y = y.orderBy(F.xxhash64(F.lit("sample"), F.col("doc_id")), "doc_id").limit(bound)
+    found = texts.join(F.broadcast(y), "doc_id").groupBy("doc_id").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.col("text"))).alias("text"), F.max("y").alias("y"))
+    return found.repartition(SAMPLE_TASKS, "doc_id")
+
+
+def bounded(rows: DataFrame, bytes_of: Column, total: int = TRAIN_BYTES) -> DataFrame:
+    """The examples, of rows with a doc_id, that fill at most ``total`` bytes: in the
+    order of hashed ids, without those over a hundredth of it by themselves."""
+    rows = stored(rows.withColumn("bytes", bytes_of), "examples")
     place = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    y = y.groupBy("doc_id").agg(F.max(column).cast("int").alias("y")).orderBy(place, "doc_id").limit(bound)
-    found = docs.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(y), "doc_id")
-    return found.orderBy(place, "doc_id", F.xxhash64("text")).limit(bound)
+    sizes = rows.where(F.col("bytes") <= total // 100).select(place.alias("p"), "bytes").orderBy("p").collect()  # a pair of numbers for each row of the sample
+    full = np.cumsum([r["bytes"] for r in sizes])
+    kept = int(np.searchsorted(full, total, side="right"))
+    if kept == len(sizes):
+        return rows.where(F.col("bytes") <= total // 100)
+    return rows.where((F.col("bytes") <= total // 100) & (place < F.lit(sizes[kept]["p"])))
 
 
 def examples(rows: DataFrame, features: Features) -> list[tuple[int, np.ndarray, int]]:
@@ -150,13 +171,18 @@ def examples(rows: DataFrame, features: Features) -> list[tuple[int, np.ndarray,
                 lists += [x.astype(np.int32).tobytes() for x in np.split(pair & ((1 << features.bits) - 1), cut)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.binary()), batch.column("y")], ["doc_id", "at", "y"])
 
-    got = rows.mapInArrow(made, "doc_id long, at binary, y int").toArrow()
+    got = bounded(rows.mapInArrow(made, "doc_id long, at binary, y int"), F.length("at")).select("doc_id", "at", "y").toArrow()
     ids, ys = got["doc_id"].to_pylist(), got["y"].to_pylist()
     out = [(i, np.frombuffer(at.as_buffer(), np.int32), y) for i, at, y in zip(ids, got["at"], ys, strict=True)]  # views, not copies
-    out.sort(key=lambda r: (T.mix(np.array([r[0]], np.int64).view(np.uint64))[0], r[0], len(r[1])))
+    out.sort(key=lambda r: in_order(r[0]))
     return out
 
 
+def in_order(doc_id: int) -> tuple[int, int]:
+    """Examples are learnt in the order of this hash of their ids."""
+    return int(T.mix(np.array([doc_id], np.int64).view(np.uint64))[0]), doc_id
+
+
 def trained(rows: list[tuple[int, np.ndarray, int]], features: Features, epochs: int = 4, calibrate: float = 0.0, **rates) -> Model:
     """Passes over the examples in their order.  calibrate: the share of the
     examples, the last ones, kept out of training to fit a and b on.  Without
@@ -192,7 +218,9 @@ def calibrated(model: Model, logits: np.ndarray, y: np.ndarray) -> Model:
 
 
 def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") -> DataFrame:
-    """docs with a double column ``name``: the probability of label 1, for null and empty texts the bias's."""
+    """docs with a double column ``name``: the probability of label 1, for null and empty
+    texts the bias's.  A column that has the name already gives way to it."""
+    kept = [c for c in docs.columns if c.lower() != name.lower()]
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,6 +229,6 @@ def with_score(docs: DataFrame, model: Model, name: str, text: str = "text") ->
         for batch in batches:
             parts = [model.scores(model.logits(c, dense)) for c in T.chunks(batch.column(text))]
             score = pa.array(np.concatenate(parts) if parts else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns, score], [*batch.schema.names, name])
+            yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in kept), score], [*kept, name])
 
-    return docs.mapInArrow(scored, S.StructType([*docs.schema.fields]).add(name, "double"))
+    return docs.mapInArrow(scored, S.StructType([docs.schema[x] for x in kept]).add(name, "double"))

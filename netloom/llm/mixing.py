@@ -7,8 +7,8 @@ the source.
 
 Cases: a null text counts 0 words; a null source is a source of its own, last
 in the order; a source without words gets target 0 and rate 0; repeated rows
-draw the same copy (the draw depends on seed and id alone); a null id draws as
-the empty string; an empty table gives an empty result.  Input columns are kept
+draw the same copy (the draw depends on seed and id alone); a null id draws by
+its text; an empty table gives an empty result.  Input columns are kept
 by ``mix`` whatever their names: helper columns live in one struct that is
 renamed away from clashes.
 """
@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netloom.llm.store import stored
+from netloom.functions.store import stored
 
 WORD = r"[^\x20\x09-\x0D]+"
 #: Up to so many sources their table is broadcast; beyond, the join is shuffled with salted keys.
@@ -72,9 +72,9 @@ def cyclic_weights(sizes: DataFrame, weights: list[int]) -> DataFrame:
     return sizes.withColumn("weight", F.element_at(F.array(*map(F.lit, weights)), (place % len(weights) + 1).cast("int")).cast("long"))
 
 
-def draw(doc_id: Column, seed: str) -> Column:
-    """A number in [0, 1) that depends on the seed and the id alone."""
-    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.lit(""))))
+def draw(doc_id: Column, text: Column, seed: str) -> Column:
+    """A number in [0, 1) that depends on the seed and the id alone; without an id, on the text."""
+    digest = F.md5(F.concat(F.lit(seed), F.coalesce(doc_id.cast("string"), F.concat(F.lit("?"), F.md5(F.coalesce(text, F.lit("")))))))
     return F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
 
 
@@ -83,7 +83,7 @@ def copies_per_document(docs: DataFrame, weights: list[int], seed: str, keep: li
     box = fresh(docs, "mix")
     keep = docs.columns if keep is None else keep
     src, n = F.col("source"), F.col(f"{box}.size")
-    sized = docs.select(*[F.col(f"`{c}`") for c in keep], F.struct(word_count(F.col("text")).alias("size"), src.alias("source")).alias(box))
+    sized = docs.select(*[F.col(f"`{c}`") for c in keep], F.struct(word_count(F.col("text")).alias("size"), src.alias("source"), draw(F.col("doc_id"), F.col("text"), seed).alias("draw")).alias(box))
     by_source = docs.select("source", word_count(F.col("text")).alias("n")).groupBy("source").agg(F.sum("n").alias("source_size"))
     targets = stored(source_targets(cyclic_weights(by_source, weights)), "mix_targets")
     t = targets.select(F.struct("source", "source_size", "target").alias(box + "t"))
@@ -91,14 +91,14 @@ def copies_per_document(docs: DataFrame, weights: list[int], seed: str, keep: li
     if targets.limit(MAX_BROADCAST_SOURCES + 1).count() <= MAX_BROADCAST_SOURCES:
         joined = sized.join(F.broadcast(t), F.col(f"{box}.source").eqNullSafe(theirs), "left")
     else:
-        salt = F.pmod(F.xxhash64(F.col(f"{box}.size"), F.col("doc_id")), F.lit(SALTS))
+        salt = F.pmod(F.xxhash64(F.col(f"{box}.draw"), F.col("doc_id")), F.lit(SALTS))
         joined = sized.withColumn(box + "s", salt).join(
             t.withColumn(box + "u", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))),
             F.col(f"{box}.source").eqNullSafe(theirs) & (F.col(box + "s") == F.col(box + "u")), "left",
         )
     size, target = F.col(f"{box}t.source_size"), F.col(f"{box}t.target")
     rate = F.when(size > 0, target / size).otherwise(F.lit(0.0))
-    extra = (draw(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
+    extra = (F.col(f"{box}.draw") < rate - F.floor(rate)).cast("long")
     return joined.select(
         *[F.col(f"`{c}`") for c in keep],
         F.struct(n.alias("size"), size.alias("source_size"), target.alias("target"), rate.alias("rate"), (F.floor(rate) + extra).alias("copies")).alias(box),
@@ -126,7 +126,7 @@ def mix_sql(weights: list[int], seed: str = "mix-1", max_rate: int = MAX_RATE) -
     picks = " ".join(f"WHEN {i} THEN {w}" for i, w in enumerate(weights))
     return rf"""
 WITH d AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
+  SELECT doc_id, source, text, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
 ), s AS (
   SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source
 ), w AS (
@@ -142,9 +142,9 @@ WITH d AS (
 ), t AS (
   SELECT source, source_size, least(CAST(cap AS DOUBLE), (SELECT level FROM f) * weight) AS target FROM l
 ), r AS (
-  SELECT doc_id, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
+  SELECT doc_id, text, size, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 ), c AS (
-  SELECT *, CAST(floor(rate) AS BIGINT) + CAST(CAST(CAST('0x' || substr(md5('{seed}' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < rate - floor(rate) AS BIGINT) AS copies FROM r
+  SELECT *, CAST(floor(rate) AS BIGINT) + CAST(CAST(CAST('0x' || substr(md5('{seed}' || coalesce(CAST(doc_id AS VARCHAR), '?' || md5(coalesce(text, '')))), 1, 8) AS BIGINT) AS DOUBLE) / 4294967296.0 < rate - floor(rate) AS BIGINT) AS copies FROM r
 )
 SELECT doc_id, size, source_size, target, size * copies AS taken, copies, rate FROM c"""

@@ -19,6 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from netloom.llm import linear
@@ -97,10 +98,12 @@ def distinct_words(c: T.Chunk, w: T.Words) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def char_grams(buf: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(word, coordinate) of every character n-gram of byte n-grams inside words."""
-    word = np.repeat(np.arange(len(length)), length)
-    left = np.repeat(np.cumsum(length), length) - np.arange(len(buf))
-    h, words, coords = T.mix(buf.astype(np.uint64) + np.uint64(1)), [], []
+    """(word, coordinate) of every n-gram of code points inside words."""
+    start, value = T.points(buf)
+    size = np.diff(np.searchsorted(start, np.append(0, np.cumsum(length))))
+    word = np.repeat(np.arange(len(size)), size)
+    left = np.repeat(np.cumsum(size), size) - np.arange(len(value))
+    h, words, coords = T.mix(value + np.uint64(1)), [], []
     for k in CHAR_ORDERS:
         g = T.grams(h, k)
         ok = left[: len(g)] >= k
@@ -132,12 +135,14 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model |
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ats, values = [], []
+            ats, grams, counts = [], [], []
             for c in T.chunks(batch.column("text")):
                 w = T.words(c)
                 doc, at = WORDS.of(c, w)
                 pair = np.unique(doc.astype(np.int64) << np.int64(WORDS.bits) | at)
-                parts = [(pair >> WORDS.bits, pair & ((1 << WORDS.bits) - 1), np.ones(len(pair)))]
+                cut = np.searchsorted(pair >> WORDS.bits, np.arange(1, c.n))
+                ats += [x.astype(np.int32).tobytes() for x in np.split(pair & ((1 << WORDS.bits) - 1), cut)]
+                key, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
                 if len(w):
                     buf, length, place = distinct_words(c, w)
                     word, gram = char_grams(buf, length)
@@ -147,39 +152,44 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model |
                     size = n[place]
                     flat = order[np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + np.repeat(begin[place], size)]
                     key, count = np.unique(np.repeat(w.doc, size).astype(np.int64) << np.int64(CHAR_BITS) | gram[flat], return_counts=True)
-                    d = key >> CHAR_BITS
-                    share = count * CHAR_SCALE / np.bincount(d, count, minlength=c.n)[d]
-                    parts.append((d, (key & ((1 << CHAR_BITS) - 1)) + (1 << WORDS.bits), share))
-                doc, at, value = (np.concatenate(x) for x in zip(*parts, strict=True))
-                order = np.argsort(doc, kind="stable")
-                cut = np.searchsorted(doc[order], np.arange(1, c.n))
-                ats += [x.astype(np.int32).tobytes() for x in np.split(at[order], cut)]
-                values += [x.astype(np.float32).tobytes() for x in np.split(value[order], cut)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ats, pa.binary()), pa.array(values, pa.binary()), batch.column("y")], ["doc_id", "at", "value", "y"])
-
-    got = rows.mapInArrow(made, "doc_id long, at binary, value binary, y int").toArrow().to_pylist()
-    if not got:
+                cut = np.searchsorted(key >> CHAR_BITS, np.arange(1, c.n))
+                grams += [x.astype(np.uint16).tobytes() for x in np.split(key & ((1 << CHAR_BITS) - 1), cut)]
+                counts += [x.astype(np.uint32).tobytes() for x in np.split(count, cut)]
+            cols = [batch.column("doc_id"), *(pa.array(x, pa.binary()) for x in (ats, grams, counts)), batch.column("y")]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "gram", "n", "y"])
+
+    size = sum((F.length(x) for x in ("gram", "n")), F.length("at"))
+    got = linear.bounded(rows.mapInArrow(made, "doc_id long, at binary, gram binary, n binary, y int"), size).select("doc_id", "at", "gram", "n", "y").toArrow()
+    if not got.num_rows:
         return None
-    got.sort(key=lambda r: (T.mix(np.array([r["doc_id"]], np.int64).view(np.uint64))[0], r["doc_id"], r["at"]))
-    rows = [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["value"], np.float32), r["y"]) for r in got]
-    size, cut = (1 << WORDS.bits) + (1 << CHAR_BITS), len(got) - int(len(got) * CALIBRATE)
+    order = sorted(range(got.num_rows), key=lambda i, ids=got["doc_id"].to_pylist(): linear.in_order(ids[i]))
+    views = [[np.frombuffer(x.as_buffer(), t) for x in got[name]] for name, t in (("at", np.int32), ("gram", np.uint16), ("n", np.uint32))]
+    ys = got["y"].to_pylist()
+    size, cut = (1 << WORDS.bits) + (1 << CHAR_BITS), len(order) - int(len(order) * CALIBRATE)
+
+    def example(i: int) -> tuple[np.ndarray, np.ndarray]:
+        at, gram, n = (v[i] for v in views)
+        share = (n * (CHAR_SCALE / max(int(n.sum()), 1))).astype(np.float32)
+        return np.concatenate([at, gram.astype(np.int32) + (1 << WORDS.bits), [size]]), np.concatenate([np.ones(len(at), np.float32), share, [1.0]])
+
     f = linear.Ftrl(size, **RATES)
     for _ in range(EPOCHS):
-        for at, value, y in rows[:cut]:
-            f.learn(np.append(at, size), np.append(value, 1.0), y)
+        for i in order[:cut]:
+            f.learn(*example(i), ys[i])
     w = f.weights()
     some = np.flatnonzero(w[: 1 << WORDS.bits])
     model = linear.Model(WORDS, some, w[some].astype(np.float32), float(w[-1]))
-    if cut < len(rows):
-        logits = np.array([w[-1] + w[at] @ value for at, value, _ in rows[cut:]])
-        model = linear.calibrated(model, logits, np.array([y for *_, y in rows[cut:]]))
+    if cut < len(order):
+        logits = np.array([w[at] @ value for at, value in map(example, order[cut:])])
+        model = linear.calibrated(model, logits, np.array([ys[i] for i in order[cut:]]))
     return Model(model, w[1 << WORDS.bits : -1])
 
 
 def judged(docs: DataFrame, model: Model | None, text: str = "text") -> DataFrame:
-    """docs with n_words, the four base counts, base_failed, quality and kept."""
+    """docs with n_words, the four base counts, base_failed, quality and kept, in place of columns of these names."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     names = [*COUNTS, "base_failed", "quality", "kept"]
+    left = [c for c in docs.columns if c.lower() not in names]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
@@ -195,9 +205,9 @@ def judged(docs: DataFrame, model: Model | None, text: str = "text") -> DataFram
                 parts.append(x)
             if parts:
                 cols = [pa.array(np.concatenate([x[n] for x in parts])) for n in names]
-                yield pa.RecordBatch.from_arrays([*batch.columns, *cols], [*batch.schema.names, *names])
+                yield pa.RecordBatch.from_arrays([*(batch.column(x) for x in left), *cols], [*left, *names])
 
-    schema = S.StructType([*docs.schema.fields])
+    schema = S.StructType([docs.schema[x] for x in left])
     for n in names:
         schema = schema.add(n, {"base_failed": "boolean", "kept": "boolean", "quality": "double"}.get(n, "long"))
     return docs.mapInArrow(run, schema)

@@ -197,6 +197,17 @@ def segment_sums(values: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return total[bounds[1:]] - total[bounds[:-1]]
 
 
+def points(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first byte, value) of each code point: its UTF-8 bytes as one number."""
+    start = np.flatnonzero((buf & 0xC0) != 0x80)
+    size = np.diff(np.append(start, len(buf)))
+    value = buf[start].astype(np.uint64)
+    for k in range(1, int(size.max()) if len(size) else 0):
+        more = size > k
+        value[more] = value[more] << np.uint64(8) | buf[start[more] + k]
+    return start, value
+
+
 def code_points(c: Chunk, w: Words) -> np.ndarray:
     """Code points inside words, for each document."""
     lead = (c.buf & 0xC0) != 0x80

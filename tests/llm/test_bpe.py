@@ -1,4 +1,5 @@
 import hashlib
+import json
 import random
 
 import pytest
@@ -56,5 +57,25 @@ def test_small_groups_share_what_is_known(spark, monkeypatch):
     assert got == [t.encode(x, add_special_tokens=False).ids for x in some]
 
 
+@pytest.mark.parametrize("path", [("model", "ignore_merges"), ("pre_tokenizer", "use_regex"), ("normalizer",), ("added_tokens", 0, "lstrip")])
+def test_settings_that_are_not_followed_raise(tmp_path, path):
+    with open(bpe.default_path(), encoding="utf-8") as f:
+        d = json.load(f)
+    at = d
+    for x in path[:-1]:
+        at = at[x]
+    at[path[-1]] = {"type": "NFC"} if path[-1] == "normalizer" else not at[path[-1]]
+    (tmp_path / "t.json").write_text(json.dumps(d), "utf-8")
+    with pytest.raises(ValueError, match=path[-1]):
+        bpe.Codec.load(str(tmp_path / "t.json"))
+
+
+def test_columns_of_the_outputs_names_give_way(spark):
+    df = spark.createDataFrame([("x", "hello", [1])], "N_tokens string, text string, ids array<int>")
+    out = bpe.encoded(df, bpe.default_path(), {"n_tokens": "n_tokens", "ids": "ids"})
+    assert out.columns == ["text", "n_tokens", "ids"] and out.first().n_tokens == len(out.first().ids)
+    assert bpe.decoded(out, bpe.default_path(), name="text").first().text == "hello"
+
+
 def test_empty_table(spark):
     assert bpe.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []

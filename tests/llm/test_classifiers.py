@@ -1,4 +1,6 @@
 import collections
+import math
+import random
 import re
 import zlib
 
@@ -6,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netloom.llm import linear, quality_classifier, quality_rules, toxicity
-from netloom.llm.store import table
+from netloom.functions.store import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -43,6 +45,92 @@ def test_edges(spark, module):
     assert module.report(docs.limit(0), labels).collect() == []
 
 
+def grams_of(text, f):
+    """The n-grams and skip-grams of a text, as tuples."""
+    words = WORD.findall(text or "")
+    if f.lower:
+        words = [w.lower() for w in words]
+    if f.trim:
+        words = [re.sub(r"^[^a-z0-9]+|[^a-z0-9]+$", "", w) or w for w in words]
+    out = set()
+    for k in f.orders:
+        for i in range(len(words) - k + 1):
+            g = tuple(words[i : i + k])
+            out.add((k, "same") if f.repeats and k > 1 and len(set(g)) == 1 else (k, g))
+    return out | {("skip", words[i], words[i + gap]) for gap in f.skips for i in range(len(words) - gap)}
+
+
+def ftrl_scores(docs, labels, module):
+    """FTRL-proximal over dictionaries, in the order of the hashed ids."""
+    a, b, l1, l2 = (module.RATES[x] for x in ("alpha", "beta", "l1", "l2"))
+    z, n = collections.Counter(), collections.Counter()
+
+    def weight(x):
+        least = 0 if x == "bias" else l1
+        return 0.0 if abs(z[x]) <= least else -(z[x] - math.copysign(least, z[x])) / ((b + math.sqrt(n[x])) / a + l2)
+
+    score = lambda text: 1 / (1 + math.exp(-sum(weight(x) for x in [*grams_of(text, module.FEATURES), "bias"])))
+    for _ in range(module.EPOCHS):
+        for i in sorted(labels, key=linear.in_order):
+            every = [*grams_of(docs[i], module.FEATURES), "bias"]
+            w = {x: weight(x) for x in every}
+            g = 1 / (1 + math.exp(-sum(w.values()))) - labels[i]
+            for x in every:
+                z[x] += g - (math.sqrt(n[x] + g * g) - math.sqrt(n[x])) / a * w[x]
+                n[x] += g * g
+    return {i: score(t) for i, t in docs.items()}
+
+
+@pytest.mark.parametrize(("module", "column", "fold", "held"), [(toxicity, "toxic", 5, 0), (quality_classifier, "quality", 3, 1)])
+def test_scores_against_plain_python(spark, module, column, fold, held):
+    rng = random.Random(2)
+    vocabulary = ["good", "plain", "Tale,", "of", "a", "river", "and", "(hill)"]
+    docs, marks = {}, {}
+    for i in range(120):
+        bad = i % 3 == 0
+        docs[i] = " ".join(rng.choice([*vocabulary, *(["vile", "Scum!", "scum"] if bad else [])]) for _ in range(rng.randrange(1, 15)))
+        marks[i] = int(bad)
+    docs |= {200: "", 201: "a a a a a a", 202: None}
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(i, y, y) for i, y in marks.items()], "doc_id long, quality int, toxic int")
+    crc = lambda i: zlib.crc32(str(i).encode()) % fold
+    want = ftrl_scores(docs, {i: y for i, y in marks.items() if crc(i) != held}, module)
+    got = {r.doc_id: r.score for r in module.report(df, labels).collect()}
+    assert got == pytest.approx(want, abs=1e-5) and len({round(x, 3) for x in want.values()}) > 10
+
+
+def test_labels_of_other_documents_do_not_fill_the_sample(spark):
+    docs = spark.range(50).select(F.col("id").alias("doc_id"), F.concat(F.lit("word"), F.col("id")).alias("text"))
+    labels = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit(1).alias("toxic"))
+    assert linear.labelled(docs, labels, "toxic", None, 100).count() == 50
+    assert linear.labelled(docs.union(docs), labels, "toxic", None, 20).count() == 20
+
+
+def test_bytes_of_examples_are_bounded(spark):
+    rows = spark.range(100).select(F.col("id").alias("doc_id"), F.expr("cast(repeat('x', cast(if(id = 7, 90, 10) as int)) as binary)").alias("at"))
+    kept = linear.bounded(rows, F.length("at"), 5000).collect()
+    assert len(kept) == 99
+    kept = linear.bounded(rows, F.length("at"), 1000).collect()
+    assert 90 <= len(kept) <= 100 and 7 not in {r.doc_id for r in kept}
+
+
+def test_a_column_of_the_score_gives_way(spark):
+    docs = spark.createDataFrame([("x", "a b c", 3)], "Score string, text string, n_words int")
+    model = linear.trained([], toxicity.FEATURES)
+    assert linear.with_score(docs, model, "score").columns == ["text", "n_words", "score"]
+    assert quality_rules.judged(docs, None).first().n_words == 3
+
+
+def test_character_grams_are_of_code_points():
+    import numpy as np
+
+    buf = np.frombuffer("aé中😀".encode(), np.uint8)
+    word, at = quality_rules.char_grams(buf, np.array([len(buf)]))
+    assert len(word) == 3 + 2 and len(set(at.tolist())) == 5
+    start, value = quality_rules.T.points(buf)
+    assert start.tolist() == [0, 1, 3, 6] and value[2] == int.from_bytes("中".encode(), "big")
+
+
 def test_ftrl_keeps_few_weights():
     f = linear.Ftrl(50, alpha=1.0, l1=1.0, l2=0.1)
     import numpy as np

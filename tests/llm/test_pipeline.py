@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from netloom.llm import mixing, toxicity
-from netloom.llm.store import stored, table
+from netloom.functions.store import stored, table
 from tests.llm.test_mixing import targets
 from tests.llm.test_ngram_join import brute as near_groups
 from tests.llm.test_substring_dedup import WORD
