@@ -11,23 +11,32 @@ more.  Each set takes the l, up to MAX_MATCHES, of the least estimated cost:
 a longer prefix reads more postings, but a pair is verified only if it shares
 min(l, l') prefix tokens.
 
-The estimate bounds the postings of rare tokens: their pairs are counted, and
-those with enough matches are verified by the whole sets.  A pair that shares a
-frequent prefix token (of many near copies, or of a passage that fills short
-documents) is compared at the first one of them instead.  Such postings are cut
-into chunks of CHUNK members; the pairs of a chunk, or of two chunks, that no
-earlier token compares are verified together, by matrix products within one
-task, which gives at most a link for each member instead of a row for each pair.
+The pairs of rare tokens are counted, and those with enough matches are verified
+by the whole sets.  A pair that shares a frequent prefix token (of many near
+copies, or of a passage that fills short documents) is compared at the first one
+of them instead.  The members of a frequent token are dealt by hash over parts of
+about CHUNK, as many as its estimate asks for, so that no task reads them all; the
+pairs of a part, or of two parts, that no earlier token compares are verified
+together, by matrix products within one task, which gives at most a link for each
+member instead of a row for each pair.  As the estimate's noise grows with the
+corpus, a token that it calls rare is treated so too if more than RARE_MEMBERS
+documents have it in their prefixes.
+
+A member carries the frequent tokens ahead of one, of many only the BEFORE of
+smallest hash: one that two members share proves that an earlier token compares
+them, and a proof that is missed costs time but no link.
 
 Cases: texts that are null or without words have an empty set and are linked
 with nothing; fewer than ``k`` words make one shingle of them all; repeated rows
 are one class, each with its row; null ids take part, but name no component
-unless all ids of it are null; an empty table gives an empty result; other
-columns are kept by ``first_of_each``.
+unless all ids of it are null; different texts under one id are told apart by a
+hash of the text; an empty table gives an empty result; other columns are kept by
+``first_of_each``.
 """
 
 from __future__ import annotations
 
+import bisect
 from collections.abc import Iterator
 
 import numpy as np
@@ -48,6 +57,10 @@ MAX_MATCHES = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 30.0
 CHUNK = 4096
+RARE_MEMBERS = 256
+BEFORE = 128
+#: A class with more than this share of all rows is hot.
+HOT_SHARE = 2000
 #: Tokens in a chunk's sets, at most (one larger set makes a chunk of its own).
 CHUNK_TOKENS = 2_000_000
 
@@ -77,8 +90,12 @@ def set_key(s: np.ndarray) -> int:
     return int(T.mix(np.array([np.add.reduce(T.mix(s * np.uint64(5)), dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64)) or 1 if len(s) else 0
 
 
+SIGNED = "id long, tie long, key long, n int, block int, counts binary"
+SIGNED_NAMES = [x.split()[0] for x in SIGNED.split(", ")]
+
+
 def _signed(k: int):
-    """(id, set key, set size) of each document, and at a partition's end the blocks of its sketch."""
+    """(id, tie, set key, set size) of each document, and at a partition's end the blocks of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
@@ -92,13 +109,13 @@ def _signed(k: int):
                 counts[at] = np.minimum(counts[at] + n, 65_535)
             ids = batch.column("id")
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([ids, pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], ["id", "key", "n", "block", "counts"])
+            yield pa.RecordBatch.from_arrays([ids, batch.column("tie"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], SIGNED_NAMES)
         if counts.any():
             blocks = counts.reshape(SKETCH_BLOCKS, -1)
             none = pa.nulls(SKETCH_BLOCKS)
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64()), none.cast(pa.int64()), none.cast(pa.int32()), pa.array(np.arange(SKETCH_BLOCKS, dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
-                ["id", "key", "n", "block", "counts"],
+                [*[none.cast(pa.int64())] * 3, none.cast(pa.int32()), pa.array(np.arange(SKETCH_BLOCKS, dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
+                SIGNED_NAMES,
             )
 
     return run
@@ -125,7 +142,7 @@ def sketch_of(blocks: DataFrame) -> np.ndarray:
 
 
 def prefix(s: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """The prefix of a set, which of its tokens are frequent, and the matches that it asks for."""
+    """The prefix of a set, over how many parts each of its tokens is dealt (0: a rare one), and the matches that it asks for."""
     n = len(s)
     need = -(-percent * n // 100)
     estimate = sketch[s >> np.uint64(64 - SKETCH_BITS)]
@@ -136,12 +153,43 @@ def prefix(s: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tupl
     read = cost[n - need + matches - 1]
     best = int(matches[np.argmin(read * (1 + VERIFY_COST / matches**2))])
     order = order[: n - need + best]
-    return s[order], level[order] > 0, best
+    parts = np.maximum(1, np.ceil((estimate[order] - mean) / (0.9 * CHUNK))).astype(np.int64)
+    return s[order], np.where(level[order] > 0, parts, 0), best
+
+
+def earlier(tokens: np.ndarray) -> list[bytes]:
+    """For each of a set's frequent tokens the ones ahead of it, at most the BEFORE of smallest hash."""
+    raw = tokens.tobytes()
+    out = [raw[: 8 * i] for i in range(min(len(tokens), BEFORE + 1))]
+    if len(tokens) > len(out):
+        place = T.mix(tokens ^ np.uint64(0x5BD1E995))
+        held = sorted(zip(place[:BEFORE].tolist(), tokens[:BEFORE].tolist(), strict=True))
+        for h, t in zip(place[BEFORE:-1].tolist(), tokens[BEFORE:-1].tolist(), strict=True):
+            if h < held[-1][0]:
+                held.pop()
+                bisect.insort(held, (h, t))
+                out.append(np.array([x for _, x in held], np.uint64).tobytes())
+            else:
+                out.append(out[-1])
+    return out
+
+
+PREFIXED = "token long, part int, parts int, key long, n int, l int, before binary"
+#: Prefix tokens, and earlier ones with them, that a task holds at a time.
+OUT_TOKENS = 4_000_000
 
 
 def _prefixes(k: int, percent: int, sent):
-    """(token, key, n, l, before) of each prefix token; before: for a frequent
-    token the frequent ones ahead of it in the prefix, otherwise null."""
+    """(token, part, parts, key, n, l, before) of each prefix token; before: for a
+    frequent token those ahead of it in the prefix, otherwise null."""
+
+    def made(parts: list[tuple]) -> pa.RecordBatch:
+        size = [len(p[0]) for p in parts]
+        key, n, ask = (np.repeat(np.array([p[i] for p in parts], t), size) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32)))
+        dealt = np.concatenate([p[5] for p in parts])
+        part = (key % np.maximum(dealt, 1)).astype(np.int32)
+        cols = [np.concatenate([p[0] for p in parts]).view(np.int64), part, np.maximum(dealt, 1).astype(np.int32), key, n, ask]
+        return pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), pa.array([b for p in parts for b in p[4]], pa.binary())], [x.split()[0] for x in PREFIXED.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = sent.value
@@ -149,34 +197,42 @@ def _prefixes(k: int, percent: int, sent):
         for batch in batches:
             seen: set[int] = set()
             parts: list[tuple] = []
+            held = 0
             for c in T.chunks(batch.column("text")):
                 for s in sets_of(c, k):
                     if len(s) and (key := set_key(s)) not in seen:
                         seen.add(key)
-                        tokens, frequent, matches = prefix(s, sketch, mean, percent)
-                        first = len(tokens) - int(frequent.sum())  # the order puts them last
-                        raw = tokens[first:].tobytes()
-                        parts.append((tokens, key, len(s), matches, [None] * first + [raw[: 8 * i] for i in range(len(tokens) - first)]))
+                        tokens, dealt, matches = prefix(s, sketch, mean, percent)
+                        first = len(tokens) - int((dealt > 0).sum())  # the order puts frequent tokens last
+                        parts.append((tokens, key, len(s), matches, [None] * first + earlier(tokens[first:]), dealt))
+                        held += len(tokens) + sum(map(len, parts[-1][4][first:])) // 8
+                if held > OUT_TOKENS:
+                    yield made(parts)
+                    parts, held = [], 0
             if parts:
-                size = [len(p[0]) for p in parts]
-                cols = [np.concatenate([p[0] for p in parts]).view(np.int64), *(np.repeat(np.array([p[i] for p in parts], t), size) for i, t in ((1, np.int64), (2, np.int32), (3, np.int32)))]
-                before = pa.array([b for p in parts for b in p[4]], pa.binary())
-                yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in cols), before], ["token", "key", "n", "l", "before"])
+                yield made(parts)
 
     return run
 
 
 #: Pairs of documents that share a rare prefix token, and chunks of the documents that share a frequent one.
-MET = "x long, y long, ask int, token long, chunk int, keys binary, sizes binary, counts binary, before binary"
+MET = "x long, y long, ask int, token long, chunk long, keys binary, sizes binary, counts binary, before binary"
 
 
 def _met(percent: int):
-    """Over rows in order of (token, key)."""
+    """Over rows in order of (token, part, key)."""
 
-    def pairs(token, key, n, ask) -> pa.RecordBatch:
+    def pairs(token, key, n, ask) -> Iterator[pa.RecordBatch]:
         new = np.ones(len(token), bool)
         new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])  # copies of a class that were read apart
         token, key, n, ask = token[new], key[new], n[new], ask[new]
+        begin = np.flatnonzero(np.append(True, token[1:] != token[:-1])) if len(token) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(token)))
+        if (size > RARE_MEMBERS).any():
+            for b, m in zip(begin[size > RARE_MEMBERS].tolist(), size[size > RARE_MEMBERS].tolist(), strict=True):
+                yield from chunks(int(token[b]), [(x, y, b"") for x, y in zip(key[b : b + m].tolist(), n[b : b + m].tolist(), strict=True)])
+            few = np.repeat(size <= RARE_MEMBERS, size)
+            token, key, n, ask = token[few], key[few], n[few], ask[few]
         xs, ys, asks, gap = [], [], [], 1
         at = np.arange(len(token))
         while len(at := at[at + gap < len(token)]) and len(at := at[token[at] == token[at + gap]]):
@@ -187,18 +243,33 @@ def _met(percent: int):
             asks.append(np.minimum(ask[ok], ask[ok + gap]))
             gap += 1
         x, y, ask = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (xs, ys, asks))
-        none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int32(), *[pa.binary()] * 4)]
-        return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(ask.astype(np.int32)), *none], NAMES)
+        none = [pa.nulls(len(x), t) for t in (pa.int64(), pa.int64(), *[pa.binary()] * 4)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64()), pa.array(ask.astype(np.int32)), *none], NAMES)
+
+    def chunks(token: int, members: list[tuple]) -> Iterator[pa.RecordBatch]:
+        no, begin, held = 0, 0, 0
+        for i, m in enumerate(members):
+            if i > begin and (i - begin == CHUNK or held + m[1] > CHUNK_TOKENS):
+                yield chunk(token, no, members[begin:i])
+                no, begin, held = no + 1, i, 0
+            held += m[1]
+        yield chunk(token, no, members[begin:])
 
     def chunk(token, no, members) -> pa.RecordBatch:
         keys, sizes, before = zip(*members, strict=True)
         cols = [np.array(keys, np.int64).tobytes(), np.array(sizes, np.int32).tobytes(), np.array([len(b) // 8 for b in before], np.int32).tobytes(), b"".join(before)]
         none = [pa.nulls(1, t) for t in (pa.int64(), pa.int64(), pa.int32())]
-        return pa.RecordBatch.from_arrays([*none, pa.array([token], pa.int64()), pa.array([no], pa.int32()), *(pa.array([c], pa.binary()) for c in cols)], NAMES)
+        return pa.RecordBatch.from_arrays([*none, pa.array([token], pa.int64()), pa.array([no], pa.int64()), *(pa.array([c], pa.binary()) for c in cols)], NAMES)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: tuple | None = None  # rare rows of the last token, which the next batch may continue
-        hot: list = [None, 0, 0, []]  # token, chunk, tokens in its sets, members
+        hot: list = [None, 0, 0, []]  # (token, part, parts), chunks before, tokens in its sets, members
+
+        def cut() -> Iterator[pa.RecordBatch]:
+            (token, part, parts), no, _, members = hot
+            if len(members) > (no == 0 and parts == 1):  # one member alone meets nobody
+                yield chunk(token, no * parts + part, members)
+
         for batch in batches:
             rare = batch.column("before").is_null().to_numpy(zero_copy_only=False)
             cols = [batch.column(x).to_numpy() for x in ("token", "key", "n", "l")]
@@ -206,27 +277,28 @@ def _met(percent: int):
             if rest is not None:
                 few = [np.concatenate([r, c]) for r, c in zip(rest, few, strict=True)]
             if len(few[0]):
-                cut = int(np.searchsorted(few[0], few[0][-1]))
-                yield pairs(*(c[:cut] for c in few))
-                rest = tuple(c[cut:] for c in few)
+                last = int(np.searchsorted(few[0], few[0][-1]))
+                yield from pairs(*(c[:last] for c in few))
+                rest = tuple(c[last:] for c in few)
             many = np.flatnonzero(~rare)
             before = batch.column("before").take(pa.array(many)).to_pylist()
-            for token, key, n, b in zip(*(c[many].tolist() for c in cols[:3]), before, strict=True):
-                if token != hot[0]:
-                    if len(hot[3]) > (hot[1] == 0):
-                        yield chunk(hot[0], hot[1], hot[3])
-                    hot = [token, 0, 0, []]
+            dealt = (batch.column(x).to_numpy()[many].tolist() for x in ("part", "parts"))
+            for token, key, n, b, part, parts in zip(*(c[many].tolist() for c in cols[:3]), before, *dealt, strict=True):
+                if (token, part, parts) != hot[0]:
+                    if hot[0]:
+                        yield from cut()
+                    hot = [(token, part, parts), 0, 0, []]
                 if hot[3] and hot[3][-1][0] == key:
                     continue
                 if len(hot[3]) == CHUNK or hot[3] and hot[2] + n > CHUNK_TOKENS:
-                    yield chunk(hot[0], hot[1], hot[3])
-                    hot = [token, hot[1] + 1, 0, []]
+                    yield from cut()
+                    hot = [hot[0], hot[1] + 1, 0, []]
                 hot[3].append((key, n, b))
                 hot[2] += n
         if rest is not None:
-            yield pairs(*rest)
-        if len(hot[3]) > (hot[1] == 0):
-            yield chunk(hot[0], hot[1], hot[3])
+            yield from pairs(*rest)
+        if hot[0]:
+            yield from cut()
 
     return run
 
@@ -241,20 +313,33 @@ def _opened(keys: bytes, sizes: bytes, counts: bytes, before: bytes) -> tuple:
 
 def _needed(a: tuple, b: tuple, same: bool, percent: int) -> np.ndarray:
     """[a, b]: pairs of fitting sizes that no earlier frequent token compares.  same: a and b are one chunk, each pair counts once."""
-    words, at = np.unique(np.concatenate([a[3], b[3]]), return_inverse=True)
-    sides = []
-    for (keys, _, n, _), places in ((a, at[: len(a[3])]), (b, at[len(a[3]) :])):
-        m = np.zeros((len(keys), max(1, len(words))), np.float32)
-        m[np.repeat(np.arange(len(keys)), n), places] = 1
-        sides.append(m)
-    need = sides[0] @ sides[1].T == 0
+    need = _shared([(a[2], a[3]), (b[2], b[3])]) == 0
     need &= 100 * np.minimum(a[1][:, None], b[1][None, :]) >= percent * np.maximum(a[1][:, None], b[1][None, :])
     need &= a[0][:, None] != b[0][None, :]
     return np.triu(need, 1) if same else need
 
 
+def _shared(sides: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """[a, b]: how many items each member of one side shares with each of the other, by
+    products of 0/1 matrices of 1024 items at a time.  A side: the members' numbers of items, and the items."""
+    (na, a), (nb, b) = sides
+    words, at, n = np.unique(np.concatenate([a, b]), return_inverse=True, return_counts=True)
+    rank = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
+    row = np.repeat(np.arange(len(na) + len(nb)), np.concatenate([na, nb]))
+    row, rank = row[rank >= 0], rank[rank >= 0]
+    order = np.argsort(rank, kind="stable")
+    row, rank = row[order], rank[order]
+    shared = np.zeros((len(na), len(nb)), np.float32)
+    for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 1024):
+        i, j = np.searchsorted(rank, [lo, lo + 1024])
+        m = np.zeros((len(na) + len(nb), min(1024, int(rank[-1]) + 1 - lo)), np.float32)
+        m[row[i:j], rank[i:j] - lo] = 1
+        shared += m[: len(na)] @ m[len(na) :].T
+    return shared
+
+
 #: Pairs to verify by themselves, or members of a block to verify together.
-PLANNED = "x long, y long, token long, c1 int, c2 int, side int, key long, n int, before binary"
+PLANNED = "x long, y long, token long, c1 long, c2 long, side int, key long, n int, before binary"
 
 
 def _planned(percent: int):
@@ -281,15 +366,15 @@ def _planned(percent: int):
                         values = (None, None, r["token"], r["chunk"], -1 if same else r["chunk2"], side, int(m[0][p]), int(m[1][p]), m[3][ends[p] - m[2][p] : ends[p]].tobytes())
                         for o, v in zip(rows, values, strict=True):
                             o.append(v)
-            types = [pa.int64()] * 3 + [pa.int32()] * 3 + [pa.int64(), pa.int32(), pa.binary()]
+            types = [pa.int64()] * 5 + [pa.int32()] + [pa.int64(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(rows, types, strict=True)], [x.split()[0] for x in PLANNED.split(", ")])
 
     return run
 
 
-def _block(percent: int):
-    """Verifies the pairs of a block by products of 0/1 matrices over the tokens
-    that two or more of its sets hold; gives links that join what is linked."""
+def _block(percent: int, every: bool):
+    """Verifies the pairs of a block by products of 0/1 matrices over the tokens that
+    two or more of its sets hold; gives every link, or links that join what is linked."""
 
     def run(t: pa.Table) -> pa.Table:
         side = t["side"].to_numpy()
@@ -302,20 +387,7 @@ def _block(percent: int):
         (a, sa), (b, sb) = parts[0], parts[-1]
         same = len(parts) == 1
         need = _needed(a, b, same, percent)
-        every = sa if same else sa + sb
-        words, at, n = np.unique(np.concatenate(every), return_inverse=True, return_counts=True)
-        rank = np.where(n > 1, np.cumsum(n > 1) - 1, -1)[at]
-        row = np.repeat(np.arange(len(every)), [len(s) for s in every])
-        row, rank = row[rank >= 0], rank[rank >= 0]
-        order = np.argsort(rank, kind="stable")
-        row, rank = row[order], rank[order]
-        shared = np.zeros(need.shape, np.float32)
-        for lo in range(0, int(rank[-1]) + 1 if len(rank) else 0, 1024):
-            i, j = np.searchsorted(rank, [lo, lo + 1024])
-            m = np.zeros((len(every), 1024), np.float32)
-            m[row[i:j], rank[i:j] - lo] = 1
-            shared += m[: len(sa)] @ (m if same else m[len(sa) :]).T
-        both = shared.astype(np.int64)
+        both = _shared([(np.array([len(s) for s in x]), np.concatenate(x)) for x in (sa, sb)]).astype(np.int64)
         i, j = np.nonzero(need & (100 * both >= percent * (a[1][:, None] + b[1][None, :] - both)))
         parent: dict[int, int] = {}
 
@@ -327,8 +399,9 @@ def _block(percent: int):
 
         xs, ys = [], []
         for x, y in zip(a[0][i].tolist(), b[0][j].tolist(), strict=True):
-            if (u := find(x)) != (v := find(y)):
-                parent[u] = v
+            if every or (u := find(x)) != (v := find(y)):
+                if not every:
+                    parent[u] = v
                 xs.append(x)
                 ys.append(y)
         return pa.table([pa.array(xs, pa.int64()), pa.array(ys, pa.int64())], names=["x", "y"])
@@ -376,58 +449,97 @@ def components(links: DataFrame) -> DataFrame:
         labels = new.select("v", "root")
 
 
-def _links(texts: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(documents: id, key, n; links between set keys)."""
-    signed = stored(texts.mapInArrow(_signed(k), "id long, key long, n int, block int, counts binary"), "join_signed")
-    known = signed.where(F.col("block").isNull()).select("id", "key", "n")
+def _links(texts: DataFrame, k: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(documents: id, tie, key, n; classes: key, first, copies; links between set keys).  texts: id, tie, text."""
+    signed = stored(texts.mapInArrow(_signed(k), SIGNED), "join_signed")
+    known = signed.where(F.col("block").isNull()).select("id", "tie", "key", "n")
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first")
+    classes = stored(known.where("key != 0").groupBy("key").agg(first, F.count("*").alias("copies")), "join_classes")
     sketch = texts.sparkSession.sparkContext.broadcast(sketch_of(signed.where(F.col("block").isNotNull()).select("block", "counts")))
-    tokens = texts.mapInArrow(_prefixes(k, percent, sketch), "token long, key long, n int, l int, before binary")
-    met = stored(tokens.repartition(F.col("token")).sortWithinPartitions("token", "key").mapInArrow(_met(percent), MET), "join_met")
+    tokens = texts.select("text").mapInArrow(_prefixes(k, percent, sketch), PREFIXED)
+    met = stored(tokens.repartition(F.col("token"), F.col("part")).sortWithinPartitions("token", "part", "key").mapInArrow(_met(percent), MET), "join_met")
     rare = met.where(F.col("x").isNotNull()).groupBy("x", "y").agg(F.count("*").alias("found"), F.min("ask").alias("ask")).where("found >= ask").select("x", "y")
 
     fields = ["keys", "sizes", "counts", "before"]
     chunks = met.where(F.col("token").isNotNull()).select("token", "chunk", *fields)
-    none = [F.lit(None).cast("int").alias("chunk2"), *(F.lit(None).cast("binary").alias(f + "2") for f in fields)]
-    others = chunks.where("chunk > 0").select(F.col("token").alias("_t"), F.col("chunk").alias("chunk2"), *(F.col(f).alias(f + "2") for f in fields))
-    two = chunks.join(others, (F.col("token") == F.col("_t")) & (F.col("chunk") < F.col("chunk2"))).drop("_t")
+    none = [F.lit(None).cast("long").alias("chunk2"), *(F.lit(None).cast("binary").alias(f + "2") for f in fields)]
+    names = chunks.select("token", "chunk")  # which chunks meet is found without what they hold
+    two = names.join(names.where("chunk > 0").withColumnRenamed("chunk", "chunk2"), "token").where("chunk < chunk2")
+    two = two.join(chunks, ["token", "chunk"]).join(chunks.select("token", F.col("chunk").alias("chunk2"), *(F.col(f).alias(f + "2") for f in fields)), ["token", "chunk2"])
     wide = chunks.select("*", *none).unionByName(two).repartition(F.col("token"), F.col("chunk"), F.col("chunk2"))
     planned = stored(wide.mapInArrow(_planned(percent), PLANNED), "join_planned")
     pairs = stored(rare.union(planned.where(F.col("x").isNotNull()).select("x", "y")).distinct(), "join_pairs")
     members = planned.where(F.col("key").isNotNull()).drop("x", "y")
 
     keys = pairs.select("x").union(pairs.select("y")).union(members.select("key")).toDF("key").distinct()
-    wanted = known.join(keys, "key").groupBy("key").agg(F.min("id").alias("id")).select(F.col("id").alias("wanted")).distinct()
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted"))).select("text").mapInArrow(_whole_sets(k), "key long, items binary")
-    sets = stored(found.join(keys, "key").dropDuplicates(["key"]), "join_sets")
+    wanted = classes.join(keys, "key").select(F.col("first.id").alias("wanted"), F.col("first.tie").alias("wanted_tie"))
+    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("tie") == F.col("wanted_tie"))).select("text")
+    sets = stored(found.mapInArrow(_whole_sets(k), "key long, items binary").dropDuplicates(["key"]), "join_sets")
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("items").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("b")), "y")
-    blocks = members.join(sets, "key").groupBy("token", "c1", "c2").applyInArrow(_block(percent), "x long, y long")
-    return known, stored(both.mapInArrow(_verified(percent), "x long, y long").union(blocks), "join_links")
+    blocks = members.join(sets, "key").groupBy("token", "c1", "c2").applyInArrow(_block(percent, every), "x long, y long")
+    return known, classes, stored(both.mapInArrow(_verified(percent), "x long, y long").union(blocks), "join_links")
 
 
-def report(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, component_id: one row for each row of docs."""
-    return _components_of(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), k, percent).select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), "component_id")
+def _texts(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie"), "text")
 
 
-def _components_of(texts: DataFrame, k: int, percent: int) -> DataFrame:
-    known, links = _links(texts, k, percent)
+def report(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id: one row for each row of docs."""
+    found = _components_of(docs, k, percent)
+    component = F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("component.id"))
+    return found.select(F.col("id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), component.alias("component_id"))
+
+
+def joined(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+    """doc_id, class_id (the smallest id with the same set), n_links (other documents
+    that it is linked with): one row for each row of docs.  Makes a row for each pair
+    of linked classes, as many as there are links."""
+    known, classes, links = _links(_texts(docs), k, percent, every=True)
+    links = links.select("x", "y").union(links.select("y", "x")).toDF("x", "y").where("x != y").distinct()
+    n = links.join(classes.select(F.col("key").alias("y"), "copies"), "y").groupBy("x").agg(F.sum("copies").alias("n")).withColumnRenamed("x", "key")
+    named = classes.join(n, "key", "left").select("key", "copies", F.col("first.id").alias("class_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    out = _to_classes(known, stored(named, "join_counted"))
+    empty = F.col("key") == 0
+    return out.select(F.col("id").alias("doc_id"), F.when(empty, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(empty, F.lit(0)).otherwise(F.col("n_links")).cast("long").alias("n_links"))
+
+
+def _to_classes(known: DataFrame, named: DataFrame) -> DataFrame:
+    """known with the columns of named (a stored table: key, copies, ...), null for the
+    empty set.  Classes of over a HOT_SHARE-th of all rows, fewer than HOT_SHARE, are
+    broadcast, and their rows are not shuffled by key."""
+    total = named.agg(F.sum("copies")).first()[0] or 0
+    values = [F.col(c) for c in named.columns if c not in ("key", "copies")]
+    hot = named.where(F.col("copies") > total / HOT_SHARE).select(F.col("key").alias("hot"), F.struct(*values).alias("of_hot"))
+    cold = named.where(F.col("copies") <= total / HOT_SHARE).select(F.col("key").alias("cold"), F.lit(False).alias("apart"), F.struct(*values).alias("of_cold"))
+    rows = known.join(F.broadcast(hot), F.col("key") == F.col("hot"), "left")
+    aside = F.col("hot").isNotNull() | (F.col("key") == 0)
+    rows = rows.withColumn("aside", aside).withColumn("route", F.when(aside, F.xxhash64("id", "tie")).otherwise(F.col("key")))
+    out = rows.join(cold, (F.col("route") == F.col("cold")) & (F.col("aside") == F.col("apart")), "left")
+    return out.select(*known.columns, F.coalesce("of_hot", "of_cold").alias("of")).select(*known.columns, "of.*")
+
+
+def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(id, tie, key, n, component: none, id, tie of its first document) of each row of docs."""
+    known, classes, links = _links(_texts(docs), k, percent)
     roots = components(links).toDF("key", "root")
-    classes = known.where("key != 0").groupBy("key").agg(F.min("id").alias("first")).join(roots, "key", "left")
-    classes = classes.withColumn("root", F.coalesce("root", "key"))
-    names = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = stored(classes.join(names, "root").select("key", "component_id"), "join_named")  # else copies of one set would meet in a task
-    return known.join(named, "key", "left").withColumn("component_id", F.when(F.col("key") == 0, F.col("id")).otherwise(F.col("component_id")))
+    classes = classes.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
+    names = classes.groupBy("root").agg(F.min("first").alias("component"))
+    return _to_classes(known, stored(classes.join(names, "root").select("key", "copies", "component"), "join_named"))
 
 
 def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents of which the component has a smaller id; of
-    rows that repeat an id one stays, and rows without words or id all stay."""
-    found = _components_of(docs.select(F.col("doc_id").cast("long").alias("id"), "text"), k, percent)
-    drop = stored(found.where("id != component_id").select("id").distinct(), "join_dropped")
-    name = fresh(docs, "place")
-    kept = docs.join(drop, docs["doc_id"] == drop["id"], "left_anti")
-    twice = docs.where(F.col("doc_id").isNotNull()).groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias(name))
-    twice = stored(twice, "join_twice")
-    single = kept.join(twice, kept["doc_id"] == twice[name], "left_anti")
-    again = kept.join(twice, kept["doc_id"] == twice[name], "left_semi").dropDuplicates(["doc_id"])
+    """docs, of each component only the document of smallest id (without ids, and among
+    texts of one id, of smallest text hash); of repeated rows of it one stays, and rows
+    without words all stay."""
+    found = _components_of(docs, k, percent)
+    first = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
+    rows = stored(found.where("key != 0").groupBy("id", "tie").agg(F.min(F.when(first != F.col("component"), 1).otherwise(0)).alias("goes"), F.count("*").alias("times")).where("goes = 1 OR times > 1"), "join_decided")
+    box = fresh(docs, "decided")
+    tied = docs.withColumn(box, F.struct(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")))
+    named = rows.select(F.struct(F.col("id").alias("id"), F.col("tie").alias("tie"), "goes").alias(box + "r"))
+    match = F.col(f"{box}.id").eqNullSafe(F.col(f"{box}r.id")) & (F.col(f"{box}.tie") == F.col(f"{box}r.tie"))
+    found = tied.join(named, match, "left").where(F.coalesce(F.col(f"{box}r.goes"), F.lit(0)) == 0)
+    single = found.where(F.col(f"{box}r").isNull()).drop(box, box + "r")
+    again = found.where(F.col(f"{box}r").isNotNull()).dropDuplicates([box]).drop(box, box + "r")
     return single.union(again)

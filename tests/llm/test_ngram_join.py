@@ -2,6 +2,7 @@ import collections
 import random
 import re
 
+import numpy as np
 import pytest
 
 from netloom.llm import ngram_join as nj
@@ -54,7 +55,7 @@ def corpus():
     return rows + [(900, None), (901, ""), (902, "a b"), (903, "A B"), (904, "a a a a a a a")]
 
 
-@pytest.mark.parametrize("limits", [{}, {"CHUNK": 16}, {"CHUNK_TOKENS": 900}])
+@pytest.mark.parametrize("limits", [{}, {"CHUNK": 16}, {"CHUNK_TOKENS": 900}, {"RARE_MEMBERS": 3, "BEFORE": 2}, {"HOT_SHARE": 5, "OUT_TOKENS": 50}])
 def test_against_brute_force(spark, monkeypatch, limits):
     for k, v in limits.items():
         monkeypatch.setattr(nj, k, v)
@@ -71,6 +72,41 @@ def test_one_of_each_group_stays(spark):
     assert sorted((r.doc_id or -1) for r in got) == [-1, 1, 3, 4, 5] and got[0].__fields__ == df.columns
 
 
+def test_texts_without_id_and_texts_of_one_id(spark):
+    a, b = " ".join(f"w{i}" for i in range(40)), " ".join(f"v{i}" for i in range(40))
+    rows = [(None, a), (None, a), (None, a + " x"), (5, b), (5, "another text under the same id"), (5, "another text under the same id"), (6, b + " y"), (None, b)]
+    got = nj.first_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.text[:2]) for r in got) == [(0, "w0"), (5, "an"), (5, "v0")]
+
+
+def test_links_of_each_document(spark):
+    rows = corpus()
+    sets = {}
+    for i, t in rows:
+        w = WORD.findall((t or "").lower())
+        sets[i] = frozenset(tuple(w[j : j + 4]) for j in range(len(w) - 3)) if len(w) >= 4 else frozenset([tuple(w)] if w else [])
+    linked = lambda a, b: bool(a) and 100 * len(a & b) >= 85 * len(a | b)
+    want = {i: sum(linked(s, t) for j, t in sets.items() if j != i) for i, s in sets.items()}
+    got = nj.joined(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {r.doc_id: r.n_links for r in got} == want
+    assert all(r.class_id == min(j for j, t in sets.items() if t == sets[r.doc_id]) for r in got if sets[r.doc_id])
+
+
+def test_a_very_long_text_in_near_copies(spark):
+    rng = random.Random(9)
+    words = [f"w{rng.randrange(50000)}" for _ in range(100_000)]
+    rows = [(i, " ".join([*words[: 1000 * i], "zz", *words[1000 * i :]])) for i in range(10)] + [(20, " ".join(words[:70_000]))]
+    assert {r.doc_id: r.component_id for r in nj.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()} == {**dict.fromkeys(range(10), 0), 20: 20}
+
+
+def test_tokens_ahead_are_bounded(monkeypatch):
+    monkeypatch.setattr(nj, "BEFORE", 4)
+    t = np.arange(1, 30, dtype=np.uint64) * np.uint64(77)
+    got = [set(np.frombuffer(b, np.uint64).tolist()) for b in nj.earlier(t)]
+    place = dict(zip(t.tolist(), nj.T.mix(t ^ np.uint64(0x5BD1E995)).tolist(), strict=True))
+    assert got == [set(sorted(t[:i].tolist(), key=place.get)[:4]) for i in range(len(t))]
+
+
 def test_empty_table(spark):
     assert nj.report(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
