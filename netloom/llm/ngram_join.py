@@ -57,7 +57,9 @@ MAX_MATCHES = 8
 #: Cost of verifying a candidate, in postings read.
 VERIFY_COST = 30.0
 CHUNK = 4096
-RARE_MEMBERS = 256
+#: Up to so many documents a token is rare, as far as its counter's noise lets that be told; and for certain.
+RARE_COUNT = 16
+RARE_MEMBERS = 64
 BEFORE = 128
 #: A class with more than this share of all rows is hot.
 HOT_SHARE = 2000
@@ -146,7 +148,8 @@ def prefix(s: np.ndarray, sketch: np.ndarray, mean: float, percent: int) -> tupl
     n = len(s)
     need = -(-percent * n // 100)
     estimate = sketch[s >> np.uint64(64 - SKETCH_BITS)]
-    level = np.ceil(np.log2(np.maximum(estimate / (mean + 5 * np.sqrt(mean) + 8), 1.0))).astype(np.int64)
+    limit = mean + max(RARE_COUNT, 3 * np.sqrt(mean))  # a counter holds other tokens' counts too: mean of them, give or take its root
+    level = np.ceil(np.log2(np.maximum(estimate / limit, 1.0))).astype(np.int64)
     order = np.lexsort((s, level))
     cost = np.cumsum(np.maximum(1.0, estimate[order] - mean))
     matches = np.arange(1, min(MAX_MATCHES, need) + 1)
