@@ -30,6 +30,7 @@ class FlowConfig:
 @dataclass(frozen=True)
 class GraphConfig:
     ttl_ms: int = 30_000
+    wheel_granularity_ms: int = 1_000  # read and kept: timers are exact here
     prune_interval_ms: int = 1_000
     mode: str = "cumulative"  # or ttl, replay
     test_graph: str = "continue"  # or empty
@@ -48,6 +49,7 @@ class IForestConfig:
 class DbscanConfig:
     epsilon: float = 0.1
     min_points: int = 10
+    outline_threshold: float = 0.65  # read and kept: the detector's rule has no threshold
 
 
 @dataclass(frozen=True)
@@ -86,30 +88,43 @@ class EngineConfig:
     kmeans: KMeansConfig = field(default_factory=KMeansConfig)
     dbstream: DbstreamConfig = field(default_factory=DbstreamConfig)
     partitions: int = 100
+    partitioning: str = "hashed"  # or greedy, with exact node sets, or bloom
     output_dir: str = "result"
 
+    def __post_init__(self):
+        if self.partitioning not in ("hashed", "greedy", "bloom"):
+            raise ValueError(f"unknown partitioning {self.partitioning}")
+
 
-#: Where a section of the JSON file goes.
-_SECTIONS = {"extractor": "graph", "graph": "graph", "flow": "flow", "iforest": "iforest", "dbscan": "dbscan", "kmeans": "kmeans", "dbstream": "dbstream"}
-_RENAMED = {"lambda": "lambda_", "connection_threshold": "connection"}
+#: Where a section of the JSON file goes; sections of "detector" may also stand at the top level.
+_SECTIONS = {
+    "data": "data", "data_loader": "data", "extractor": "graph", "graph": "graph", "flow": "flow", "iforest": "iforest", "iforest_config": "iforest", "dbscan": "dbscan",
+    "dbscan_config": "dbscan", "kmeans": "kmeans", "kmeans_config": "kmeans", "dbstream": "dbstream", "dbstream_config": "dbstream",
+}
+_RENAMED = {"lambda": "lambda_", "connection_threshold": "connection", "prune_interval": "prune_interval_ms"}
 
 
-def _made(kind: type, values: dict[str, Any]):
+def _made(section: str, kind: type, values: dict[str, Any]):
     values = {_RENAMED.get(k, k): v for k, v in values.items()}
-    return kind(**{f.name: values[f.name] for f in fields(kind) if f.name in values})
+    if odd := sorted(values.keys() - {f.name for f in fields(kind)}):
+        raise ValueError(f"unknown keys of {section}: {', '.join(odd)}")
+    return kind(**values)
 
 
 def from_dict(d: dict[str, Any]) -> EngineConfig:
-    """Known keys of d over the defaults; sections may also stand at the top level."""
-    parts: dict[str, Any] = {"data": _made(DataConfig, d.get("data", d))}
+    """Keys of d over the defaults; the data's keys may also stand at the top level.  Unknown keys raise."""
+    d = dict(d)
+    d |= d.pop("detector", {})
     kinds = {f.name: f.default_factory for f in fields(EngineConfig) if f.name in _SECTIONS.values()}
+    found: dict[str, dict] = {}
     for section, name in _SECTIONS.items():
-        if isinstance(d.get(section), dict):
-            parts[name] = _made(kinds[name], d[section])
-    for key in ("algorithm", "partitions", "output_dir"):
-        if key in d:
-            parts[key] = d[key]
-    return EngineConfig(**parts)
+        if section in d:
+            found[name] = found.get(name, {}) | d.pop(section)
+    plain = {f.name for f in fields(EngineConfig)} - set(kinds)
+    parts = {k: d.pop(k) for k in list(d) if k in plain}
+    if d:
+        found["data"] = found.get("data", {}) | d
+    return EngineConfig(**parts, **{name: _made(name, kinds[name], values) for name, values in found.items()})
 
 
 def load(path: str) -> EngineConfig:

@@ -12,20 +12,37 @@ from netloom.functions.ship import ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only
+    where that is unset: a temporary one in local mode, otherwise the warehouse's."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not at:
-        at = os.path.join(tempfile.gettempdir(), "checkpoints", "netloom")
+        local = spark.sparkContext.master.startswith("local")
+        at = os.path.join(tempfile.gettempdir(), "checkpoints", "netloom") if local else spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_netloom"
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
 
 
+def _hadoop(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once as Parquet in the shared folder, and read again."""
+    """df written once as Parquet in the shared folder, and read again.  The table goes when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _hadoop(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Deletes a stored table that nothing reads any more."""
+    fs, at = _hadoop(df.sparkSession, df.stored_at)
+    fs.delete(at, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

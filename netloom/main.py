@@ -1,4 +1,4 @@
-"""python -m netloom.main --config FILE: loads flows, runs a detector, writes its tables."""
+"""python -m netloom.main --config FILE: loads flows, runs a detector, writes its tables and prints its report."""
 
 from __future__ import annotations
 
@@ -17,11 +17,8 @@ from netloom.sources import loaders
 def run(spark: SparkSession, cfg: config.EngineConfig):
     ship(spark)
     result = detect(stored(loaders.load(spark, cfg), "flows"), cfg)
-    tables = dict(result.tables)
-    if result.predictions is not None:
-        tables |= {"predictions": result.predictions, "metrics": result.metrics}
-    for name, df in tables.items():
-        writers.write_csv(df, f"{cfg.output_dir}/{cfg.algorithm.lower()}_{name}.csv")
+    stem = cfg.data.data_path.rstrip("/").rsplit("/", 1)[-1].rsplit(".", 1)[0] or "flows"
+    writers.write_results(cfg.algorithm, stem, result, cfg.output_dir)
     return result
 
 
@@ -30,9 +27,7 @@ def main() -> None:
     p.add_argument("--config", required=True)
     cfg = config.load(p.parse_args().config)
     spark = SparkSession.builder.appName("netloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
-    result = run(spark, cfg)
-    if result.metrics is not None:
-        result.metrics.show(truncate=False)
+    print(writers.report(cfg.algorithm, run(spark, cfg)))
 
 
 if __name__ == "__main__":

@@ -83,7 +83,7 @@ def mini_batch_kmeans(flows: DataFrame, cfg: EngineConfig) -> Result:
     radius = profile.cluster_radius(train)
     pred = test.join(F.broadcast(radius), "cluster", "left")  # at most k rows
     pred = pred.withColumn("pred", F.coalesce((F.col("distance") > F.col("radius")).cast("int"), F.lit(0)))
-    return _result(pred.select(*KEEP, "cluster", "distance", "pred"), stats=profile.cluster_stats(train), train=train, radius=radius)
+    return _result(pred.select(*KEEP, "cluster", "distance", "pred"), stats=profile.cluster_stats(train), train=train, test=test, radius=radius)
 
 
 def isolation_forest(flows: DataFrame, cfg: EngineConfig) -> Result:
@@ -123,22 +123,31 @@ def density(flows: DataFrame, cfg: EngineConfig) -> Result:
     return _result(out.select(*KEEP, "cluster", "distance", "pred"), pca=scaling.pca_2d(out, graph.FEATURES, ["cluster", "label", "pred"]), stats=profile.feature_stats(f, graph.FEATURES))
 
 
-def mixed(flows: DataFrame, cfg: EngineConfig, greedy: bool = False) -> Result:
+#: Bits of each partition's Bloom filter.
+BLOOM_BITS = 1 << 18
+
+
+def mixed(flows: DataFrame, cfg: EngineConfig) -> Result:
     """Partitions, their signatures and scores; the suspicious ones are clustered
     as streams.  Each partition has a graph of its own."""
     n = cfg.partitions
-    parts = learners.greedy_partitions(flows, n) if greedy else learners.hashed_partitions(flows, n)
-    space = F.col("pid") * F.lit(1 << 40)  # nodes of different partitions are different nodes
-    own = parts.withColumn("src_ip", F.col("src_ip") + space).withColumn("dst_ip", F.col("dst_ip") + space)
+    if cfg.partitioning == "hashed":
+        parts = learners.hashed_partitions(flows, n)
+    else:
+        parts = learners.greedy_partitions(flows, n, bits=BLOOM_BITS if cfg.partitioning == "bloom" else None)
+    ends = {c: F.concat_ws(":", F.col("pid").cast("string"), F.col(c).cast("string")) for c in ("src_ip", "dst_ip")}  # nodes of different partitions are different nodes
+    own = parts.withColumns({f"_{c}": F.col(c) for c in ends} | ends)
     state = graph.state(own, ORDER, cfg.graph.mode, cfg.graph.ttl_ms, cfg.graph.prune_interval_ms)
-    f = stored(state.withColumn("src_ip", F.col("src_ip") - space).withColumn("dst_ip", F.col("dst_ip") - space).select(*parts.columns, *graph.feature_columns()), "mix_features")
+    f = stored(state.withColumns({c: F.col(f"_{c}") for c in ends}).select(*parts.columns, *graph.feature_columns()), "mix_features")
     arrays = stored(divergence.dense(profile.distributions(f)), "mix_distributions")
     chosen = stored(divergence.selection(divergence.partition_scores(arrays)), "mix_selection")
     picked = f.join(F.broadcast(chosen.where("selected").select("pid")), "pid", "left_semi")  # at most as many rows as partitions
     clustered = learners.dbstream_partitions(picked.withColumn("t", codes.micros(F.col("ts_start")) / 1e6), graph.FEATURES, cfg.dbstream)
+    clustered = stored(clustered, "mix_clustered")
     pred = f.join(clustered.drop("pid"), "flow_idx", "left").withColumn("pred", F.coalesce(F.col("is_outlier").cast("int"), F.lit(0)))
     pred = stored(pred.select(*KEEP, "pid", "assignment", "pred"), "mix_pred")
-    return _result(pred, selection=chosen, signature=profile.signature(f))
+    pca = clustered.join(f.select("flow_idx", "label"), "flow_idx").select("pid", "x", "y", F.col("assignment").alias("assignments"), "label", F.col("is_outlier").cast("int").alias("is_outlier"))
+    return _result(pred, selection=chosen, signature=profile.signature(f), pca=pca)
 
 
 DETECTORS: dict[str, Callable[[DataFrame, EngineConfig], Result]] = {

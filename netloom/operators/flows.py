@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,11 +31,14 @@ def with_labels(packets: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def with_session(packets: DataFrame, timeout_us: int, key: list[str] = KEY) -> DataFrame:
-    """Adds sid: 1, 2, ... within a key, one more at each gap of timeout_us or more."""
-    w = Window.partitionBy(*key).orderBy("ts", "pkt_idx")
-    gap = codes.micros(F.col("ts")) - F.lag(codes.micros(F.col("ts"))).over(w)
-    flagged = packets.withColumn("_new", F.when(gap.isNull() | (gap >= timeout_us), 1).otherwise(0).cast("long"))
-    return flagged.withColumn("sid", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
+    """Adds sid: 1, 2, ... within a key, one more at each gap of timeout_us or more.
+
+    Packets are range-partitioned by time, and what a key's earlier ranges hold is
+    added: a key of a third of all packets is not one task's."""
+    us, order = codes.micros(F.col("ts")), ["ts", "pkt_idx"]
+    lined = ordering.running(ordering.bucketed(packets, order), key, order, {"_last": us}, top=True, before=True)
+    flagged = lined.withColumn("_new", F.when(F.col("_last").isNull() | (us - F.col("_last") >= timeout_us), 1).otherwise(0).cast("long"))
+    return ordering.running(flagged, key, order, {"sid": F.col("_new")}).drop("_new", "_last", ordering.BUCKET)
 
 
 def sessionize(packets: DataFrame, timeout_us: int, key: list[str] = KEY, lineage: bool = False) -> DataFrame:
@@ -45,7 +51,7 @@ def sessionize(packets: DataFrame, timeout_us: int, key: list[str] = KEY, lineag
     ]
     if lineage:
         aggs.append(F.array_sort(F.collect_list("pkt_idx")).alias("pkt_idx"))
-    return with_session(packets, timeout_us, key).groupBy(*key, "sid").agg(*aggs)
+    return with_session(packets.select(*key, "ts", "pkt_idx", "code", "len", "label"), timeout_us, key).groupBy(*key, "sid").agg(*aggs)
 
 
 def replay(packets: DataFrame, timeout_s: float = 10.0, evict_s: float = 5.0, chunks: int = 32, key: list[str] = KEY) -> DataFrame:
@@ -190,11 +196,11 @@ def leader_clusters(flows: DataFrame, threshold: float) -> DataFrame:
     whose running-mean centroid has a cosine of threshold or more, else a new one."""
     cols = [f"l{i}" for i in range(5)]
     schema = "src_ip long, dst_ip long, flow_idx long, leader int"
+    names = [x.split()[0] for x in schema.split(", ")]
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("flow_idx")
+    def leaders(rows: np.ndarray) -> list[int]:
         centres, sizes, out = np.zeros((0, 5)), [], []
-        for x in pdf[cols].to_numpy(float):
+        for x in rows:
             norms = np.sqrt((centres**2).sum(1)) * np.sqrt((x**2).sum())
             cos = np.where(norms > 0, centres @ x / np.where(norms > 0, norms, 1), 0.0)
             hit = np.flatnonzero(cos >= threshold)
@@ -207,9 +213,36 @@ def leader_clusters(flows: DataFrame, threshold: float) -> DataFrame:
                 centres = np.vstack([centres, x])
                 sizes.append(1)
             out.append(i)
-        return pdf[["src_ip", "dst_ip", "flow_idx"]].assign(leader=np.array(out, np.int32))
-
-    return leader_vector(flows).select("src_ip", "dst_ip", "flow_idx", *cols).groupBy("src_ip", "dst_ip").applyInPandas(run, schema)
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Over rows in order of (src_ip, dst_ip, flow_idx): a pair's rows are held until the next pair begins."""
+        held: list[pa.RecordBatch] = []
+
+        def made(rows: list[pa.RecordBatch]) -> pa.RecordBatch:
+            ids = [np.concatenate([b.column(n).to_numpy() for b in rows]) for n in names[:3]]
+            x = np.column_stack([np.concatenate([b.column(n).to_numpy() for b in rows]) for n in cols])
+            cut = np.flatnonzero((ids[0][1:] != ids[0][:-1]) | (ids[1][1:] != ids[1][:-1])) + 1
+            found = [i for part in np.split(x, cut) for i in leaders(part)]
+            return pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in ids), pa.array(found, pa.int32())], names)
+
+        for batch in batches:
+            a, b = batch.column("src_ip").to_numpy(), batch.column("dst_ip").to_numpy()
+            if not len(a):
+                continue
+            last = int(np.flatnonzero(np.append(True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])))[-1])  # where the batch's last pair begins
+            begins = not held or (held[-1].column("src_ip")[-1].as_py(), held[-1].column("dst_ip")[-1].as_py()) != (a[0], b[0])
+            if last or begins:
+                done = [*held, batch.slice(0, last)] if last else held
+                if done:
+                    yield made(done)
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield made(held)
+
+    lined = leader_vector(flows).select("src_ip", "dst_ip", "flow_idx", *cols).repartition("src_ip", "dst_ip").sortWithinPartitions("src_ip", "dst_ip", "flow_idx")
+    return lined.mapInArrow(run, schema)
 
 
 def pair_groups(flows: DataFrame, max_packets: int = 15) -> DataFrame:

@@ -15,7 +15,7 @@ from __future__ import annotations
 import heapq
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import codes
@@ -61,14 +61,14 @@ def ttl_state(flows: DataFrame, order: list[str], ttl_ms: int) -> DataFrame:
 
     An edge is live at t if some flow of it started at or before t and t is at
     most that flow's ts_end + ttl (its own flow always counts); its count starts
-    anew after a dead time; a node is live while an incident edge is."""
+    anew after a dead time; a node is live while an incident edge is.  Running sums
+    and maxima go over range buckets, as in ``cumulative_state``."""
     base = ordering.indexed(flows, order, "ord").withColumn("t", codes.millis(F.col("ts_start")))
-    own = Window.partitionBy("src_ip", "dst_ip").orderBy("ord")
     base = base.withColumn("until", F.greatest(codes.millis(F.col("ts_end")), F.col("t")) + ttl_ms)
-    before = F.max("until").over(own.rowsBetween(Window.unboundedPreceding, -1))
-    base = base.withColumn("fresh", F.when(before.isNull() | (F.col("t") > before), 1).otherwise(0).cast("long"))
-    base = base.withColumn("life", F.sum("fresh").over(own.rowsBetween(Window.unboundedPreceding, 0)))
-    base = base.withColumn("edge_count", F.row_number().over(Window.partitionBy("src_ip", "dst_ip", "life").orderBy("ord")).cast("long"))
+    base = ordering.running(base, ["src_ip", "dst_ip"], ["ord"], {"last": F.col("until")}, top=True, before=True)
+    base = base.withColumn("fresh", F.when(F.col("last").isNull() | (F.col("t") > F.col("last")), 1).otherwise(0).cast("long"))
+    base = ordering.running(base, ["src_ip", "dst_ip"], ["ord"], {"life": F.col("fresh")})
+    base = ordering.running(base, ["src_ip", "dst_ip", "life"], ["ord"], {"edge_count": F.lit(1).cast("long")})
     lives = base.groupBy("src_ip", "dst_ip", "life").agg(F.min("t").alias("t"), F.min("ord").alias("ord"), F.max("until").alias("until"))
     # births come at their flow, deaths after every flow of the last live millisecond
     events = lives.select(
@@ -85,16 +85,14 @@ def ttl_state(flows: DataFrame, order: list[str], ttl_ms: int) -> DataFrame:
     asks = base.select("t", F.col("ord").alias("o"), F.explode(F.array(F.struct(F.lit("s").alias("role"), F.col("src_ip").alias("node")), F.struct(F.lit("t").alias("role"), F.col("dst_ip").alias("node")))).alias("x")).select("t", "o", "x.*")
     zero = F.lit(0).cast("long")
     lined = node.withColumn("role", F.lit(None).cast("string")).unionByName(asks.withColumn("out_d", zero).withColumn("in_d", zero))
-    upto = Window.partitionBy("node").orderBy("t", "o").rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    stepped = lined.withColumn("out_n", F.sum("out_d").over(upto)).withColumn("in_n", F.sum("in_d").over(upto))
+    stepped = ordering.running(ordering.bucketed(lined, ["t", "o"]), ["node"], ["t", "o"], {"out_n": F.col("out_d"), "in_n": F.col("in_d")}, peers=True)
     pick = lambda role, c: F.max(F.when(F.col("role") == role, F.col(c)))
     degrees = stepped.where("role IS NOT NULL").groupBy(F.col("o").alias("ord")).agg(
         pick("s", "out_n").alias("src_out"), pick("s", "in_n").alias("src_in"), pick("t", "in_n").alias("dst_in"), pick("t", "out_n").alias("dst_out"),
     )
     # a node's own changes between dead and live, summed over peers of (t, o)
     at = node.groupBy("node", "t", "o").agg(F.sum(F.col("out_d") + F.col("in_d")).alias("d"))
-    deg = F.sum("d").over(Window.partitionBy("node").orderBy("t", "o").rowsBetween(Window.unboundedPreceding, 0))
-    turns = at.withColumn("n", deg).select("t", "o", (F.when(F.col("n") > 0, 1).otherwise(0) - F.when(F.col("n") - F.col("d") > 0, 1).otherwise(0)).cast("long").alias("node_d"))
+    turns = ordering.running(ordering.bucketed(at, ["t", "o"]), ["node"], ["t", "o"], {"n": F.col("d")}).select("t", "o", (F.when(F.col("n") > 0, 1).otherwise(0) - F.when(F.col("n") - F.col("d") > 0, 1).otherwise(0)).cast("long").alias("node_d"))
     whole = turns.groupBy("t", "o").agg(F.sum("node_d").alias("node_d")).withColumn("edge_d", zero)
     whole = whole.unionByName(events.groupBy("t", "o").agg(F.sum("d").alias("edge_d")).withColumn("node_d", zero)).groupBy("t", "o").agg(F.sum("node_d").alias("node_d"), F.sum("edge_d").alias("edge_d"))
     marks = base.select("t", F.col("ord").alias("o")).withColumn("asked", F.lit(True))

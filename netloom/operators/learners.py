@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netloom.config import DbstreamConfig, IForestConfig, KMeansConfig
-from netloom.functions.store import stored
+from netloom.functions.store import discard, stored
 
 EULER = 0.5772156649015329
 #: Columns that DBSCAN compares while it joins; more are compared for the pairs within epsilon on these.
@@ -204,12 +204,13 @@ def min_labels(links: DataFrame) -> DataFrame:
     labels = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("root")), "roots")
     while True:
         near = both.join(labels.select(F.col("v").alias("u"), "root"), "u").groupBy("v").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        lower = labels.select("v", "root").join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = lower.select(F.col("v").alias("root"), F.col("root").alias("next"))
         new = stored(lower.join(jump, "root", "left").select("v", F.least(F.col("root"), F.coalesce("next", "root")).alias("root"), "was"), "roots")
+        discard(labels)
         if not new.where("root <> was").limit(1).count():
             return new.select("v", "root")
-        labels = new.select("v", "root")
+        labels = new
 
 
 class Dbstream:
@@ -223,7 +224,7 @@ class Dbstream:
         self.centres: dict[int, np.ndarray] = {}
         self.weight: dict[int, float] = {}
         self.seen: dict[int, float] = {}
-        self.links: dict[tuple[int, int], list[float]] = {}
+        self.links: dict[tuple[int, int], list[float]] = {}  # shared density, its time, and the connection then
         self.made = self.inserted = 0
         self.last: float | None = None
 
@@ -231,28 +232,28 @@ class Dbstream:
         if not ids:
             return []
         d = np.sqrt(((np.stack([self.centres[i] for i in ids]) - x) ** 2).sum(1))
-        return sorted((float(v), i) for v, i in zip(d, ids, strict=True) if v < limit)
+        return sorted((float(v), i) for v, i in zip(d, ids, strict=True) if v <= limit)
 
     def insert(self, x: np.ndarray, t: float) -> None:
         """Late points (before the last one) are dropped."""
         cfg = self.cfg
         if self.last is not None and t < self.last:
             return
-        self.last = t
         self.decay(t)
-        near = self._near(x, cfg.epsilon, list(self.centres))
+        near = [(d, i) for d, i in self._near(x, cfg.epsilon, list(self.centres)) if d < cfg.epsilon]
         if not near:
             if len(self.centres) >= cfg.max_clusters:
                 self.remove_noise()
-            if len(self.centres) < cfg.max_clusters:
-                self.centres[self.made], self.weight[self.made], self.seen[self.made] = x.astype(float).copy(), 1.0, t
-                self.made += 1
+                if len(self.centres) >= cfg.max_clusters:
+                    return  # no room: as if the point had not come
+            self.centres[self.made], self.weight[self.made], self.seen[self.made] = x.astype(float).copy(), 1.0, t
+            self.made += 1
         else:
             moved = {}
             for d, i in near:
                 self.weight[i] += 1.0
                 self.seen[i] = t
-                pull = cfg.eta * np.exp(-(d * d) / (2 * (cfg.epsilon / 3) ** 2))
+                pull = cfg.eta * np.exp(-(d * d) / (2 * cfg.epsilon**2))
                 moved[i] = self.centres[i] + pull * (x - self.centres[i])
             ids = [i for _, i in near]
             close = any(np.sqrt(((moved[a] - moved[b]) ** 2).sum()) < cfg.epsilon for k, a in enumerate(ids) for b in ids[k + 1 :])
@@ -260,9 +261,10 @@ class Dbstream:
                 self.centres.update(moved)
             for k, a in enumerate(ids):
                 for b in ids[k + 1 :]:
-                    link = self.links.setdefault((min(a, b), max(a, b)), [0.0, t])
-                    link[0] = link[0] * np.exp(-cfg.lambda_ * (t - link[1])) + 1.0
-                    link[1] = t
+                    link = self.links.setdefault((min(a, b), max(a, b)), [0.0, t, 0.0])
+                    link[0] = float(link[0] * np.exp(-cfg.lambda_ * (t - link[1]))) + 1.0
+                    link[1:] = t, 2 * link[0] / (self.weight[a] + self.weight[b])
+        self.last = t
         self.inserted += 1
         if self.inserted % 100 == 0:
             self.remove_noise()
@@ -282,7 +284,8 @@ class Dbstream:
         return [i for i in sorted(self.centres) if self.weight[i] >= self.cfg.mu]
 
     def macro_labels(self) -> dict[int, int]:
-        """Labels 0, 1, ... of core micro-clusters joined by connection of the threshold or more, in order of creation."""
+        """Labels 0, 1, ... of core micro-clusters in order of creation, joined by links
+        whose connection, as of the last point that both took, is the threshold or more."""
         core = self.core()
         parent = {i: i for i in core}
 
@@ -291,11 +294,9 @@ class Dbstream:
                 i = parent[i]
             return i
 
-        for (a, b), (s, seen) in sorted(self.links.items()):
-            if a in parent and b in parent:
-                s = s * np.exp(-self.cfg.lambda_ * max(0.0, (self.last or seen) - seen))
-                if s / max(0.5 * (self.weight[a] + self.weight[b]), 1e-12) >= self.cfg.connection:
-                    parent[max(find(a), find(b))] = min(find(a), find(b))
+        for (a, b), (_, _, connection) in sorted(self.links.items()):
+            if a in parent and b in parent and connection >= self.cfg.connection:
+                parent[max(find(a), find(b))] = min(find(a), find(b))
         roots = list(dict.fromkeys(find(i) for i in core))
         return {i: roots.index(find(i)) for i in core}
 
@@ -306,8 +307,9 @@ class Dbstream:
 
 
 def dbstream_partitions(df: DataFrame, columns: list[str], cfg: DbstreamConfig, idx: str = "flow_idx") -> DataFrame:
-    """(pid, idx, assignment, is_outlier) of each partition, its rows inserted in
-    order of idx after min-max scaling of its own.
+    """(pid, idx, assignment, is_outlier, x, y) of each partition, its rows inserted in
+    order of idx after min-max scaling of its own; x and y are the scaled rows' first
+    two principal components.
 
     outlier_rule "assigned": every assigned point, all points if none is;
     "comment": the points of the largest cluster and those not assigned."""
@@ -329,9 +331,19 @@ def dbstream_partitions(df: DataFrame, columns: list[str], cfg: DbstreamConfig,
         else:
             values, n = np.unique(at[at >= 0], return_counts=True)
             out = (at < 0) | (at == values[n.argmax()])
-        return pd.DataFrame({"pid": pdf["pid"].astype("int64"), idx: pdf[idx].astype("int64"), "assignment": at.astype("int32"), "is_outlier": out})
+        px, py = plane(x).T
+        return pd.DataFrame({"pid": pdf["pid"].astype("int64"), idx: pdf[idx].astype("int64"), "assignment": at.astype("int32"), "is_outlier": out, "x": px, "y": py})
+
+    return df.groupBy("pid").applyInPandas(run, f"pid long, {idx} long, assignment int, is_outlier boolean, x double, y double")
+
 
-    return df.groupBy("pid").applyInPandas(run, f"pid long, {idx} long, assignment int, is_outlier boolean")
+def plane(x: np.ndarray) -> np.ndarray:
+    """[n, 2]: rows on the first two principal components, the largest loading of each positive."""
+    centred = x - x.mean(0)
+    _, vectors = np.linalg.eigh(centred.T @ centred)
+    top = vectors[:, ::-1][:, :2]
+    top = top * np.where(top[np.abs(top).argmax(0), np.arange(top.shape[1])] < 0, -1, 1)
+    return np.pad(centred @ top, ((0, 0), (0, 2 - top.shape[1])))
 
 
 class Bloom:
@@ -368,27 +380,34 @@ class Bloom:
 
 
 def hashed_partitions(flows: DataFrame, n: int = 100) -> DataFrame:
-    """pid by a hash of the source: stateless, for any size."""
-    return flows.withColumn("pid", F.pmod(F.xxhash64("src_ip"), F.lit(n)))
+    """pid by a hash of the source (the first 32 bits of its md5): stateless, for any size."""
+    digest = F.md5(F.col("src_ip").cast("string"))
+    return flows.withColumn("pid", F.pmod(F.conv(F.substring(digest, 1, 8), 16, 10).cast("long"), F.lit(n)))
 
 
-def greedy_partitions(flows: DataFrame, n: int = 100, idx: str = "flow_idx") -> DataFrame:
+def greedy_partitions(flows: DataFrame, n: int = 100, idx: str = "flow_idx", bits: int | None = None) -> DataFrame:
     """pid by linear deterministic greedy placement, in order of idx: hits of both
     ends less the share of the largest load, the lowest id of several.  Sequential
-    by nature: one ordered task with exact node sets; ``hashed_partitions`` scales."""
+    by nature: one ordered task, with exact node sets or, given ``bits``, a Bloom
+    filter of as many bits for each partition; ``hashed_partitions`` scales."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(idx)
         load = np.zeros(n)
         homes: dict[int, np.ndarray] = {}
         none = np.zeros(n, bool)
+        places, fields = (Bloom(bits)._places, np.zeros((n, bits), bool)) if bits else (None, None)
+        known = lambda node: fields[:, places(node)].all(1) if bits else homes.get(node, none)
         out = []
         for s, d in zip(pdf["src_ip"], pdf["dst_ip"], strict=True):
-            score = homes.get(s, none).astype(float) + homes.get(d, none) - load / (load.max() + 1)
+            score = known(s).astype(float) + known(d) - load / (load.max() + 1)
             p = int(score.argmax())
             load[p] += 1
             for node in (s, d):
-                homes.setdefault(node, np.zeros(n, bool))[p] = True
+                if bits:
+                    fields[p, places(node)] = True
+                else:
+                    homes.setdefault(node, np.zeros(n, bool))[p] = True
             out.append(p)
         return pd.DataFrame({idx: pdf[idx].astype("int64"), "pid": np.array(out, np.int64)})
 

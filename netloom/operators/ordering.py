@@ -22,20 +22,24 @@ def bucketed(df: DataFrame, order: list[str], n: int | None = None) -> DataFrame
     return stored(df.repartitionByRange(n, *order).withColumn(BUCKET, F.spark_partition_id()), "ordered")
 
 
-def running(df: DataFrame, keys: list[str], order: list[str], sums: dict[str, Column], peers: bool = False) -> DataFrame:
-    """df (bucketed) with running sums up to each row, within keys.
+def running(df: DataFrame, keys: list[str], order: list[str], values: dict[str, Column], peers: bool = False, top: bool = False, before: bool = False) -> DataFrame:
+    """df (bucketed) with running sums, or given ``top`` maxima, up to each row within keys.
 
-    peers: rows of equal order count together.  Without keys, the offsets are
-    one row for each bucket."""
+    peers: rows of equal order count together, and stand in one bucket.  before:
+    without the row itself; the first row's maximum is null.  Without keys, the
+    offsets are one row for each bucket."""
+    take = F.max if top else F.sum
     own = Window.partitionBy(*keys, BUCKET).orderBy(*order)
-    frame = own.rangeBetween(Window.unboundedPreceding, Window.currentRow) if peers else own.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    part = df.groupBy(*keys, BUCKET).agg(*(F.sum(c).alias(f"_part_{n}") for n, c in sums.items()))
-    before = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
-    part = part.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col(BUCKET).alias("_key_bucket"), *(F.coalesce(F.sum(f"_part_{n}").over(before), F.lit(0)).alias(f"_off_{n}") for n in sums))
-    on = [F.col(f"_key_{k}") == F.col(k) for k in keys] + [F.col("_key_bucket") == F.col(BUCKET)]
-    local = df.select("*", *(F.sum(c).over(frame).alias(f"_own_{n}") for n, c in sums.items()))
+    last = -1 if before else Window.currentRow
+    frame = own.rangeBetween(Window.unboundedPreceding, last) if peers else own.rowsBetween(Window.unboundedPreceding, last)
+    part = df.groupBy(*keys, BUCKET).agg(*(take(c).alias(f"_part_{n}") for n, c in values.items()))
+    ahead = Window.partitionBy(*keys).orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, -1)
+    part = part.select(*(F.col(k).alias(f"_key_{k}") for k in keys), F.col(BUCKET).alias("_key_bucket"), *(take(f"_part_{n}").over(ahead).alias(f"_off_{n}") for n in values))
+    on = [F.col(f"_key_{k}").eqNullSafe(F.col(k)) for k in keys] + [F.col("_key_bucket") == F.col(BUCKET)]
+    local = df.select("*", *(take(c).over(frame).alias(f"_own_{n}") for n, c in values.items()))
     joined = local.join(part if keys else F.broadcast(part), on)  # without keys: one row for each bucket
-    return joined.select(*df.columns, *((F.col(f"_own_{n}") + F.col(f"_off_{n}")).alias(n) for n in sums))
+    whole = lambda n: F.greatest(F.col(f"_own_{n}"), F.col(f"_off_{n}")) if top else F.coalesce(f"_own_{n}", F.lit(0)) + F.coalesce(f"_off_{n}", F.lit(0))
+    return joined.select(*df.columns, *(whole(n).alias(n) for n in values))
 
 
 def indexed(df: DataFrame, order: list[str], name: str, n: int | None = None) -> DataFrame:

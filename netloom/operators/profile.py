@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from netloom.operators import ordering
+
 EPS = 1e-12
 BINS = 32
 
@@ -48,7 +52,11 @@ def unpivoted(df: DataFrame, columns: list[str], keep: list[str] | None = None)
 def feature_stats(df: DataFrame, columns: list[str]) -> DataFrame:
     """Mean, maximum, median and mode (the lowest of several) of each feature."""
     long = unpivoted(df, columns)
-    return long.groupBy("feature").agg(F.avg("value").alias("mean"), F.max("value").alias("max"), F.expr("percentile(value, 0.5)").alias("median"), F.mode("value", True).alias("mode"))
+    some = long.where(F.col("value").isNotNull())
+    counts = some.groupBy("feature", "value").agg(F.count("*").alias("k")).groupBy("feature").agg(F.max(F.struct("k", (-F.col("value")).alias("v"))).alias("m"))
+    middle = order_statistics(some, ["feature"], "value", MIDDLE)
+    out = long.groupBy("feature").agg(F.avg("value").alias("mean"), F.max("value").alias("max")).join(middle, "feature", "left").join(counts, "feature", "left")
+    return out.select("feature", "mean", "max", ((F.col("low") + F.col("high")) / 2).alias("median"), (-F.col("m.v")).alias("mode"))
 
 
 def label_counts(df: DataFrame) -> DataFrame:
@@ -66,17 +74,38 @@ def ranked(df: DataFrame, keys: list[str], value: str, tie: list[str] | None = N
     return df.withColumn("_r", F.row_number().over(w.orderBy(value, *(tie or [])))).withColumn("_n", F.count("*").over(w))
 
 
+#: The two middle places of n values in order.
+MIDDLE = {"low": lambda n: F.floor((n + 1) / 2), "high": lambda n: F.floor(n / 2) + 1}
+
+
+def order_statistics(df: DataFrame, keys: list[str], value: str, places: dict[str, Callable[[Column], Column]]) -> DataFrame:
+    """(keys, n, and for each of ``places``, number of rows -> place from 1, the value there in ascending order).
+
+    Rows are range-partitioned by keys and value (equal values by their place in the
+    input), so neither a key nor a value that many rows share meets in one task."""
+    rows = df.select(*keys, F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_tie"))
+    cut = ordering.bucketed(rows, [*keys, "_v", "_tie"])
+    lined = ordering.running(cut, keys, ["_v", "_tie"], {"_r": F.lit(1).cast("long")})
+    n = cut.groupBy(*keys).agg(F.count("*").alias("n")).select(*(F.col(k).alias(f"_of_{k}") for k in keys), "n")
+    at = [f(F.col("n")) for f in places.values()]
+    met = lined.join(n, [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys]) if keys else lined.join(F.broadcast(n))  # one row
+    picked = met.where(F.col("_r").isin(*at)).groupBy(*keys, "n")
+    return picked.agg(*(F.max(F.when(F.col("_r") == a, F.col("_v"))).alias(name) for name, a in zip(places, at, strict=True)))
+
+
 def cluster_radius(df: DataFrame, cluster: str = "cluster", distance: str = "distance", q: float = 0.995, few: int = 5, default: float = 3.0) -> DataFrame:
     """The order statistic floor(q n) of each cluster's distances, at most the last; default below ``few`` points."""
-    at = F.least(F.floor(F.lit(q) * F.col("_n")), F.col("_n") - 1) + 1
-    picked = ranked(df, [cluster], distance).where(F.col("_r") == at)
-    return picked.select(cluster, F.when(F.col("_n") < few, F.lit(default)).otherwise(F.col(distance)).alias("radius"))
+    picked = order_statistics(df, [cluster], distance, {"at": lambda n: F.least(F.floor(F.lit(q) * n), n - 1) + 1})
+    return picked.select(cluster, F.when(F.col("n") < few, F.lit(default)).otherwise(F.col("at")).alias("radius"))
 
 
 def lower_quantile(df: DataFrame, keys: list[str], value: str, q: float, name: str) -> DataFrame:
     """The order statistic floor(q (n - 1)) within keys."""
-    at = F.floor(F.lit(q) * (F.col("_n") - 1)) + 1
-    return ranked(df, keys, value).where(F.col("_r") == at).select(*keys, F.col(value).alias(name))
+    return order_statistics(df, keys, value, {name: lower_place(q)}).select(*keys, name)
+
+
+def lower_place(q: float) -> Callable[[Column], Column]:
+    return lambda n: F.floor(F.lit(q) * (n - 1)) + 1
 
 
 def quantile_at(sorted_values: Column, q: float) -> Column:
@@ -89,9 +118,10 @@ def robust_stats(df: DataFrame, keys: list[str], value: str, threshold: float) -
 
     Quantiles read exact order statistics from ranks, not from collected lists."""
     qs = {"q25": 0.25, "q50": 0.5, "q75": 0.75, "q95": 0.95}
-    picks = [F.max(F.when(F.col("_r") == F.floor(F.lit(q) * (F.col("_n") - 1)) + 1, F.col(value))).alias(n) for n, q in qs.items()]
     v = F.col(value)
-    out = ranked(df, keys, value).groupBy(*keys).agg(F.count("*").alias("n"), *picks, F.avg(v).alias("mean"), F.stddev_samp(v).alias("_sd"), F.avg((v >= threshold).cast("double")).alias("fraction"))
+    picks = order_statistics(df, keys, value, {n: lower_place(q) for n, q in qs.items()})
+    means = df.groupBy(*keys).agg(F.avg(v).alias("mean"), F.stddev_samp(v).alias("_sd"), F.avg((v >= threshold).cast("double")).alias("fraction"))
+    out = picks.join(means.select(*(F.col(k).alias(f"_of_{k}") for k in keys), "mean", "_sd", "fraction"), [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in keys])
     iqr = F.when(F.col("n") < 2, F.lit(0.0)).otherwise(F.greatest(F.lit(0.0), F.col("q75") - F.col("q25")))
     return out.select(*keys, "n", *qs, iqr.alias("iqr"), "mean", cv(F.col("n"), F.col("mean"), F.col("_sd")).alias("cv"), "fraction")
 
@@ -140,8 +170,11 @@ def entropy_hhi(p: DataFrame, keys: list[str]) -> DataFrame:
 
 def median_mad(df: DataFrame, value: str) -> DataFrame:
     """One row: median and 1.4826 times the median absolute deviation."""
-    med = df.agg(F.expr(f"percentile({value}, 0.5)").alias("median"))
-    return df.join(F.broadcast(med)).groupBy("median").agg((1.4826 * F.expr(f"percentile(abs({value} - median), 0.5)")).alias("mad"))  # med is one row
+    some = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("_x"))
+    middle = lambda rows: order_statistics(rows, [], "_x", MIDDLE).select(((F.col("low") + F.col("high")) / 2).alias("median"))
+    med = middle(some)
+    off = some.join(F.broadcast(med)).select(F.abs(F.col("_x") - F.col("median")).alias("_x"))  # med is one row
+    return med.join(F.broadcast(middle(off).select((1.4826 * F.col("median")).alias("mad"))))
 
 
 def distributions(features: DataFrame) -> DataFrame:

@@ -260,15 +260,22 @@ def ses1_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 query()(ses1_replay)
 
 
-@query()
+_KIND = "CASE stack WHEN 1 THEN 'ICMP' WHEN 2 THEN 'IGMP' WHEN 4 THEN 'TCP' WHEN 8 THEN 'UDP' ELSE 'UNKNOWN' END"
+_DOTTED = "concat_ws('.', {0} // 16777216, {0} // 65536 % 256, {0} // 256 % 256, {0} % 256)"
+_KEYED = _sessions_sql(", ".join(O.KEY), 72 * HOUR, " WHERE kind = '4'")
+
+
+@query(f"""{_KEYED} SELECT concat_ws(' ', {_DOTTED.format('src')}, {_DOTTED.format('dst')}, sport, dport, {_KIND}, printf('%.6f', start_us / 1e6), printf('%.6f', end_us / 1e6), printf('%.6f', end_us / 1e6 - start_us / 1e6),
+  CAST(packets AS VARCHAR), CAST(bytes AS VARCHAR), CAST(label AS VARCHAR)) AS value FROM f""")
 def snk11_flow_lines(spark, sf_dir):
     return writers.flow_lines(O.sessionize(O.ipv4(V.packets(spark, sf_dir)), 72 * HOUR), labels=True)
 
 
-@query()
+@query(f"""{_KEYED}, t AS (SELECT {', '.join(O.KEY)}, sid, string_agg(concat(pkt_idx, ':', label), ' ' ORDER BY pkt_idx) AS value FROM s GROUP BY {', '.join(O.KEY)}, sid) SELECT value FROM t""")
 def snk12_lineage(spark, sf_dir):
     p = O.ipv4(V.packets(spark, sf_dir))
-    return writers.lineage_lines(O.sessionize(p, 72 * HOUR, lineage=True), p.select("pkt_idx", "label"))
+    lines = writers.lineage_lines(O.sessionize(p, 72 * HOUR, lineage=True), p.select("pkt_idx", "label"))
+    return lines.select("value")
 
 
 # -- joins, sorts, sets --

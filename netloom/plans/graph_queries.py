@@ -6,12 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.store import stored
-from netloom.operators import divergence, flows, graph, learners, profile, scaling
+from netloom.operators import divergence, flows, graph, learners, ordering, profile, scaling
 from netloom.plans import views as V
 from netloom.plans.flow_queries import r6
 from netloom.plans.registry import query
 
-FOLD = 60
 FEATURES = ", ".join(f"round({v}, 6) AS {v}" for v in graph.FEATURES)
 BASE = f"WITH {V.state_sql()},\n{V.FEATURES_SQL}"
 EPS = "1e-12"
@@ -22,9 +21,9 @@ def featured(spark, sf_dir, fold: int | None = None) -> DataFrame:
     return graph.features(graph.cumulative_state(f, V.ORDER), ["ord", "src_ip", "dst_ip", "label"])
 
 
-@query(f"WITH {V.state_sql(FOLD)} SELECT ord, edge_count, src_out, src_in, dst_in, dst_out, active_nodes, active_edges FROM state")
+@query(f"WITH {V.state_sql()} SELECT ord, edge_count, src_out, src_in, dst_in, dst_out, active_nodes, active_edges FROM state")
 def grf1_graph_state(spark, sf_dir):
-    return graph.cumulative_state(V.flows(spark, sf_dir, FOLD), V.ORDER).select("ord", *graph.STATE)
+    return graph.cumulative_state(V.flows(spark, sf_dir), V.ORDER).select("ord", *graph.STATE)
 
 
 @query(f"{BASE} SELECT ord, src_ip, dst_ip, label, {FEATURES} FROM features")
@@ -36,34 +35,54 @@ TTL_DAYS = 10
 _TTL = TTL_DAYS * 86_400_000
 
 
-@query(f"""WITH {V.flows_sql(FOLD)},
+#: CTEs: flows in order (o), their place in their edge's life (e), the edges' lives.
+_LIVES = f"""{V.FLOWS},
 o AS (SELECT *, row_number() OVER (ORDER BY {V.SQL_ORDER}) AS ord, epoch_us(ts_start) // 1000 AS t, greatest(epoch_us(ts_end), epoch_us(ts_start)) // 1000 + {_TTL} AS until FROM flows),
 c AS (SELECT *, CAST(t > max(until) OVER w AS INTEGER) AS dead FROM o WINDOW w AS (PARTITION BY src_ip, dst_ip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 l AS (SELECT *, sum(coalesce(dead, 1)) OVER (PARTITION BY src_ip, dst_ip ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS life FROM c),
 e AS (SELECT *, row_number() OVER (PARTITION BY src_ip, dst_ip, life ORDER BY ord) AS edge_count FROM l),
-lives AS (SELECT src_ip, dst_ip, life, min(t) AS t, min(ord) AS ord, max(until) AS until FROM l GROUP BY ALL),
-born AS (SELECT ord, row_number() OVER (ORDER BY ord) AS n FROM lives),
-births AS (SELECT e.ord, e.t, count(*) FILTER (lives.ord IS NOT NULL) OVER (ORDER BY e.ord) AS n FROM e LEFT JOIN lives ON e.ord = lives.ord),
-ended AS (SELECT until, count(*) AS n FROM lives GROUP BY until),
-steps AS (SELECT until, sum(n) OVER (ORDER BY until) AS n FROM ended)
-SELECT e.ord, e.edge_count, CAST(births.n - coalesce(s.n, 0) AS BIGINT) AS active_edges FROM e JOIN births ON e.ord = births.ord ASOF LEFT JOIN steps s ON e.t > s.until""")
+lives AS (SELECT src_ip, dst_ip, life, min(t) AS t, min(ord) AS ord, max(until) AS until FROM l GROUP BY ALL)"""
+
+
+def _alive(table: str, name: str) -> str:
+    """CTEs up to ``name`` (ord, n): the rows of ``table`` (ord, until) that are born and not past at each flow."""
+    return f"""{name}_b AS (SELECT e.ord, e.t, count(*) FILTER (x.ord IS NOT NULL) OVER (ORDER BY e.ord RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS n FROM e LEFT JOIN {table} x ON e.ord = x.ord),
+{name}_d AS (SELECT until, sum(count(*)) OVER (ORDER BY until) AS n FROM {table} GROUP BY until),
+{name} AS (SELECT DISTINCT b.ord, CAST(b.n - coalesce(d.n, 0) AS BIGINT) AS n FROM {name}_b b ASOF LEFT JOIN {name}_d d ON b.t > d.until)"""
+
+
+@query(f"WITH {_LIVES}, {_alive('lives', 'edges_n')} SELECT e.ord, e.edge_count, edges_n.n AS active_edges FROM e JOIN edges_n ON e.ord = edges_n.ord")
 def grf3_ttl_edges(spark, sf_dir):
-    return graph.ttl_state(V.flows(spark, sf_dir, FOLD), V.ORDER, _TTL).select("ord", "edge_count", "active_edges")
+    return graph.ttl_state(V.flows(spark, sf_dir), V.ORDER, _TTL).select("ord", "edge_count", "active_edges")
 
 
-@query()
+def _degree(mine: str, end: str) -> str:
+    """CTE: how many live edges have ``mine`` at their ``end``, at each flow."""
+    return f"{mine}_{end} AS (SELECT e.ord, count(*) AS n FROM e JOIN lives l ON l.{end} = e.{mine} AND l.ord <= e.ord AND l.until >= e.t GROUP BY e.ord)"
+
+
+_DEGREES = {"src_out": ("src_ip", "src_ip"), "src_in": ("src_ip", "dst_ip"), "dst_in": ("dst_ip", "dst_ip"), "dst_out": ("dst_ip", "src_ip")}
+_NODES = """incident AS (SELECT src_ip AS node, t, ord, until FROM lives UNION ALL SELECT dst_ip, t, ord, until FROM lives WHERE src_ip <> dst_ip),
+gaps AS (SELECT *, CAST(coalesce(t > max(until) OVER w, true) AS INTEGER) AS anew FROM incident WINDOW w AS (PARTITION BY node ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+spans AS (SELECT *, sum(anew) OVER (PARTITION BY node ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS span FROM gaps),
+nodes AS (SELECT node, span, min(ord) AS ord, max(until) AS until FROM spans GROUP BY ALL)"""
+
+
+@query(f"""WITH {_LIVES}, {_alive('lives', 'edges_n')}, {_NODES}, {_alive('nodes', 'nodes_n')}, {', '.join(_degree(*x) for x in _DEGREES.values())}
+SELECT e.ord, {', '.join(f'CAST(coalesce({m}_{x}.n, 0) AS BIGINT) AS {name}' for name, (m, x) in _DEGREES.items())}, e.edge_count, nodes_n.n AS active_nodes, edges_n.n AS active_edges
+FROM e JOIN edges_n ON e.ord = edges_n.ord JOIN nodes_n ON e.ord = nodes_n.ord {' '.join(f'LEFT JOIN {m}_{x} ON e.ord = {m}_{x}.ord' for m, x in _DEGREES.values())}""")
 def grf4_ttl_state(spark, sf_dir):
-    return graph.ttl_state(V.flows(spark, sf_dir, FOLD), V.ORDER, _TTL).select("ord", *graph.STATE)
+    return graph.ttl_state(V.flows(spark, sf_dir), V.ORDER, _TTL).select("ord", *graph.STATE)
 
 
 @query()
 def grf6_replay_state(spark, sf_dir):
-    return graph.replay_state(V.flows(spark, sf_dir, FOLD), V.ORDER, _TTL, 86_400_000).select("ord", *graph.STATE)
+    return graph.replay_state(V.flows(spark, sf_dir), V.ORDER, _TTL, 86_400_000).select("ord", *graph.STATE)
 
 
-@query(f"WITH {V.flows_sql(FOLD)}, g AS (SELECT src_ip, dst_ip, count(*) AS n FROM flows WHERE packets <= 15 GROUP BY 1, 2) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS flows, round(100.0 * (1 - CAST(count(*) AS DOUBLE) / sum(n)), 6) AS reduction FROM g")
+@query(f"WITH {V.FLOWS}, g AS (SELECT src_ip, dst_ip, count(*) AS n FROM flows WHERE packets <= 15 GROUP BY 1, 2) SELECT count(*) AS groups, CAST(sum(n) AS BIGINT) AS flows, round(100.0 * (1 - CAST(count(*) AS DOUBLE) / sum(n)), 6) AS reduction FROM g")
 def grf8_pair_groups(spark, sf_dir):
-    return r6(flows.pair_groups(V.flows(spark, sf_dir, FOLD)))
+    return r6(flows.pair_groups(V.flows(spark, sf_dir)))
 
 
 @query(f"""WITH {V.FLOWS} SELECT k_order, k_line, k_part, round(src_port / 65535.0, 6) AS l0, round(dst_port / 65535.0, 6) AS l1, round(ln(1 + dur_ms), 6) AS l2, round(ln(1 + packets), 6) AS l3, round(ln(1 + bytes) - ln(1 + packets), 6) AS l4 FROM flows""")
@@ -73,15 +92,7 @@ def grf9_leader_vector(spark, sf_dir):
 
 @query()
 def grf9_leader_clusters(spark, sf_dir):
-    indexed, _ = _indexed(spark, sf_dir)
-    return flows.leader_clusters(indexed, 0.9)
-
-
-def _indexed(spark, sf_dir):
-    from netloom.operators import ordering
-
-    out = ordering.indexed(V.flows(spark, sf_dir, FOLD), V.ORDER, "flow_idx")
-    return out, ordering
+    return flows.leader_clusters(ordering.indexed(V.flows(spark, sf_dir), V.ORDER, "flow_idx"), 0.9)
 
 
 # -- metrics and per-cluster aggregates, on labels and clusters made by rule --
@@ -108,9 +119,12 @@ def agg2_metrics(spark, sf_dir):
     return r6(profile.metrics(_judged(spark, sf_dir)))
 
 
-@query(BASE + ", long AS (UNPIVOT (SELECT " + ", ".join(f"round({v}, 6) AS {v}" for v in graph.FEATURES) + " FROM features) ON " + ", ".join(graph.FEATURES) + """ INTO NAME feature VALUE value),
+STATS_SQL = (BASE + ", long AS (UNPIVOT (SELECT " + ", ".join(f"round({v}, 6) AS {v}" for v in graph.FEATURES) + " FROM features) ON " + ", ".join(graph.FEATURES) + """ INTO NAME feature VALUE value),
 c AS (SELECT feature, value, count(*) AS n FROM long GROUP BY 1, 2), m AS (SELECT feature, value, row_number() OVER (PARTITION BY feature ORDER BY n DESC, value) AS k FROM c)
 SELECT l.feature, round(avg(l.value), 6) AS mean, round(max(l.value), 6) AS max, round(median(l.value), 6) AS median, round(any_value(m.value), 6) AS mode FROM long l JOIN m ON l.feature = m.feature AND m.k = 1 GROUP BY l.feature""")
+
+
+@query(STATS_SQL)
 def agg3_feature_stats(spark, sf_dir):
     return r6(profile.feature_stats(r6(featured(spark, sf_dir)), graph.FEATURES))
 
@@ -210,8 +224,15 @@ s AS (SELECT src_ip % 100 AS pid, count(*) AS n, {", ".join(f"round({e}, {_place
 SELECT s.*, {", ".join(f"round({c}, 5) AS {c}" for c in ("proto_entropy", "proto_hhi", "src_degree_entropy", "dst_degree_entropy"))} FROM s JOIN e ON s.pid = e.pid"""
 
 
+#: The stored features that several queries of one application read: (application, tables' folder) -> table.
+_FEATURED: dict[tuple[str, str], DataFrame] = {}
+
+
 def _partitioned(spark, sf_dir) -> DataFrame:
-    return stored(featured(spark, sf_dir).withColumn("pid", F.col("src_ip") % 100), "featured")
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _FEATURED:
+        _FEATURED[key] = stored(featured(spark, sf_dir).withColumn("pid", F.col("src_ip") % 100), "featured")
+    return _FEATURED[key]
 
 
 @query(_signature_sql())
@@ -273,10 +294,10 @@ def top1_selection(spark, sf_dir):
 def _p_q(spark, sf_dir) -> DataFrame:
     e = V.table(spark, sf_dir, "embeddings")
     share = lambda n, m: F.transform(F.slice("embedding", n, m), lambda x: F.abs(x.cast("double")))
-    return e.select("vec_id", share(1, 20).alias("p"), share(21, 32).alias("q"))
+    return e.select("vec_id", share(1, 20).alias("p"), share(21, 44).alias("q"))
 
 
-P_Q = """v AS (SELECT vec_id, i, coalesce(abs(CAST(embedding[i] AS DOUBLE)), 0) * CAST(i <= 20 AS INTEGER) + 1e-12 AS p, abs(CAST(embedding[20 + i] AS DOUBLE)) + 1e-12 AS q FROM embeddings, range(1, 33) r(i)),
+P_Q = """v AS (SELECT vec_id, i, coalesce(abs(CAST(embedding[i] AS DOUBLE)), 0) * CAST(i <= 20 AS INTEGER) + 1e-12 AS p, abs(CAST(embedding[20 + i] AS DOUBLE)) + 1e-12 AS q FROM embeddings, range(1, 45) r(i)),
 n AS (SELECT vec_id, p / sum(p) OVER w AS p, q / sum(q) OVER w AS q FROM v WINDOW w AS (PARTITION BY vec_id))"""
 
 
@@ -297,7 +318,7 @@ def ml8_norm_cosine(spark, sf_dir):
     return r6(V.table(spark, sf_dir, "embeddings").select("vec_id", divergence.norm(x).alias("norm"), divergence.cosine(x, y).alias("cosine"), divergence.euclidean(x, y).alias("distance")))
 
 
-_D = 8
+_D = V.DIMENSIONS
 _XS = [f"x{i}" for i in range(_D)]
 
 
@@ -336,10 +357,7 @@ def joi4_theta(spark, sf_dir):
 
 @query(f"WITH {V.FLOWS}, o AS (SELECT *, row_number() OVER (ORDER BY {V.SQL_ORDER}) AS flow_idx FROM flows) SELECT flow_idx, src_ip, dst_ip, label, CAST(flow_idx % 7 = 0 AS INTEGER) AS pred FROM o")
 def joi6_predictions(spark, sf_dir):
-    flows_, _ = V.flows(spark, sf_dir), None
-    from netloom.operators import ordering
-
-    f = ordering.indexed(flows_, V.ORDER, "flow_idx")
+    f = ordering.indexed(V.flows(spark, sf_dir), V.ORDER, "flow_idx")
     pred = f.select("flow_idx", (F.col("flow_idx") % 7 == 0).cast("int").alias("pred"))
     return f.join(pred, "flow_idx").select("flow_idx", "src_ip", "dst_ip", "label", "pred")
 

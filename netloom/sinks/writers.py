@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions import codes
+from netloom.operators.detectors import Result
 from netloom.operators.flows import completion_seconds, flow_id
 
 
@@ -43,8 +44,9 @@ def test_clusters(df: DataFrame) -> DataFrame:
 def flow_lines(flows: DataFrame, labels: bool = False) -> DataFrame:
     """Text lines: flow id, start, end, completion time, packets, bytes, and with labels whether it is malicious."""
     kind = codes.stack_type(F.col("stack"))
-    seconds = lambda c: (codes.micros(F.col(c)) / 1e6).cast("string")
-    parts = [flow_id(F.col("src"), F.col("dst"), F.col("sport"), F.col("dport"), kind), seconds("ts_start"), seconds("ts_end"), completion_seconds(F.col("ts_start"), F.col("ts_end")).cast("string"), F.col("packets").cast("string"), F.col("bytes").cast("string")]
+    fixed = lambda x: F.format_string("%.6f", x)
+    seconds = lambda c: fixed(codes.micros(F.col(c)) / 1e6)
+    parts = [flow_id(F.col("src"), F.col("dst"), F.col("sport"), F.col("dport"), kind), seconds("ts_start"), seconds("ts_end"), fixed(completion_seconds(F.col("ts_start"), F.col("ts_end"))), F.col("packets").cast("string"), F.col("bytes").cast("string")]
     if labels:
         parts.append(F.col("label").cast("string"))
     return flows.select(F.concat_ws(" ", *parts).alias("value"))
@@ -59,6 +61,53 @@ def lineage_lines(flows: DataFrame, labels: DataFrame) -> DataFrame:
     return each.groupBy("flow_no").agg(F.array_join(text, " ").alias("value"))
 
 
+def result_tables(algorithm: str, stem: str, result: Result) -> dict[str, DataFrame]:
+    """File name -> table, of everything that a detector leaves: predictions and
+    metrics under the data's name, planes and clusters under the detector's."""
+    t, pred = result.tables, result.predictions
+    more = {"DBSCAN": {"distance": "Dist"}, "IForest": {"score": "Score"}}.get(algorithm)
+    out = {} if pred is None else {f"{stem}_pred": predictions(pred, more), f"{stem}_metrics": result.metrics}
+    if algorithm == "Analyze":
+        out |= {"pca_result": pca_rows(t["pca"], ["label"]), "feature_stats": t["stats"]}
+    elif algorithm == "Mini_Batch_KMeans":
+        out |= {f"{stem}_train_clusters": train_clusters(t["train"]), f"{stem}_test_clusters": test_clusters(t["test"]), "cluster_stats": t["stats"], "cluster_radius": t["radius"]}
+    elif algorithm == "DBSCAN":
+        columns = [F.coalesce("cluster", F.lit(-1)).alias("assignments"), F.col("label"), F.col("pred").alias("is_outlier")]
+        out |= {"dbscan_pca_result": t["pca"].select("x", "y", *columns), "feature_stats": t["stats"]}
+    elif algorithm == "IForest":
+        out |= {"iforest_pca_result": pca_rows(t["pca"], ["pred", "label"])}
+    elif algorithm == "Mix":
+        out |= {"partition_selection": t["selection"], "partition_signature": t["signature"]}
+    return out
+
+
+def write_results(algorithm: str, stem: str, result: Result, folder: str) -> list[str]:
+    """Writes the tables as CSV folders, and of Mix the plane of each clustered partition under pid=..."""
+    made = [write_csv(df, f"{folder}/{name}.csv") for name, df in result_tables(algorithm, stem, result).items()]
+    if algorithm == "Mix":
+        at = f"{folder}/dbstream_pca.csv"
+        result.tables["pca"].select("pid", "x", "y", "assignments", "label", "is_outlier").repartition("pid").write.mode("overwrite").partitionBy("pid").option("header", True).csv(at)
+        made.append(at)
+    return made
+
+
+def report(algorithm: str, result: Result) -> str:
+    """The console's report: metrics and confusion, the partitions' scores, the clusters."""
+    lines = [f"{algorithm}:"]
+    if result.metrics is not None:
+        m = result.metrics.first()
+        lines += [f"  {name:<10}{100 * m[name]:8.3f} %" for name in ("accuracy", "precision", "recall", "f1", "f2", "fpr")]
+        lines += ["              predicted 0   predicted 1", f"  actual 0   {m['tn']:>12}  {m['fp']:>12}", f"  actual 1   {m['fn']:>12}  {m['tp']:>12}"]
+    if (chosen := result.tables.get("selection")) is not None:  # one row for each partition, a bounded set
+        rows = chosen.where("selected").orderBy("place").collect()
+        lines += [f"  {len(rows)} partitions selected, tau {rows[0]['tau']:.6f}" if rows else "  no partition selected"]
+        lines += [f"  partition {r['pid']:>6}  score {r['score']:.6f}" for r in rows]
+    if algorithm == "Mini_Batch_KMeans":
+        for r in result.tables["stats"].orderBy("cluster").collect():  # at most k rows
+            lines.append(f"  cluster {r['cluster']:>4}  size {r['size']:>8}  mean {r['mean']:.4f}  std {r['std']:.4f}  min {r['min']:.4f}  max {r['max']:.4f}")
+    return "\n".join(lines)
+
+
 def plot_frame(df: DataFrame, names: dict[int, str], only_label: int | None = None) -> DataFrame:
     """The shape that plots read: label names instead of numbers, booleans as 0 and 1."""
     name = F.create_map(*(F.lit(x) for k, v in names.items() for x in (k, v)))

@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from netloom.functions import codes
+from netloom.functions.store import stored
 
 #: Columns that a flow CSV's line has at least.
 CSV_FIELDS = 85
 
 
+#: Up to so many splits their table is broadcast.
+MAX_BROADCAST_SPLITS = 50_000
+
+
 def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, value): the lines of text files, in order of file name and place.
+    """(line_no, value): the lines of text files, numbered from 0 in order of file name and place."""
+    return placed_lines(spark, path).drop("file_line")
+
+
+def placed_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line_no, file_line, value): also the line's number in its file.
 
-    The number orders lines; it is not dense over several files or splits."""
-    order = F.monotonically_increasing_id()
-    return spark.read.text(path).select(order.alias("line_no"), "value")
+    A split's lines are read in order, by one task; the lines of the splits before it
+    are counted, so that lines are neither shuffled nor sorted."""
+    split = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")]
+    raw = spark.read.text(path).select(*split, F.monotonically_increasing_id().alias("_m"), "value")
+    size = raw.groupBy("file", "block").agg(F.count("*").alias("_n"), F.min("_m").alias("_first"))
+    before = lambda *keys: F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    splits = stored(size.select("file", "block", "_first", before(F.lit(0)).alias("_all"), before("file").alias("_own")), "splits")  # one row for each split
+    small = splits.limit(MAX_BROADCAST_SPLITS + 1).count() <= MAX_BROADCAST_SPLITS
+    at = F.col("_m") - F.col("_first")
+    return raw.join(F.broadcast(splits) if small else splits, ["file", "block"]).select((F.col("_all") + at).alias("line_no"), (F.col("_own") + at).alias("file_line"), "value")
 
 
 def parse_flow_lines(lines: DataFrame, duration_unit: str = "ms", strict: bool = True) -> DataFrame:
@@ -47,10 +64,8 @@ def label_of(text: Column) -> Column:
 
 
 def read_flow_csv(spark: SparkSession, path: str, data_size: int = -1, duration_unit: str = "ms") -> DataFrame:
-    """Flows of a CSV with a header; data_size counts accepted lines."""
-    lines = numbered_lines(spark, path)
-    first = lines.agg(F.min("line_no")).first()[0]
-    flows = parse_flow_lines(lines.where(F.col("line_no") != (-1 if first is None else first)), duration_unit)
+    """Flows of CSVs that each have a header; data_size counts accepted lines."""
+    flows = parse_flow_lines(placed_lines(spark, path).where("file_line > 0").drop("file_line"), duration_unit)
     return flows if data_size < 0 else flows.orderBy("line_no").limit(data_size)
 
 

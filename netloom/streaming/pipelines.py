@@ -80,7 +80,7 @@ def restore(s: Dbstream, text: str) -> None:
     s.centres = {int(i): np.array(v) for i, v in d["c"].items()}
     s.weight, s.seen = ({int(i): v for i, v in d[x].items()} for x in "ws")
     s.made, s.inserted, s.last = d["made"], d["n"], d["last"]
-    s.links = {(a, b): [v, t] for a, b, v, t in d["l"]}
+    s.links = {(a, b): [v, t, c] for a, b, v, t, c in d["l"]}
 
 
 def scored(flows: DataFrame, score: Callable[[DataFrame], DataFrame], sink: Callable[[DataFrame, int], None], checkpoint: str):

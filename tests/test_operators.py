@@ -200,6 +200,145 @@ def test_dbstream_rules():
     assert not s.centres
 
 
+class PlainStream:
+    """A sequential stream clustering over lists, one cluster after another."""
+
+    def __init__(self, cfg):
+        self.cfg, self.clusters, self.links, self.inserts, self.last = cfg, [], {}, 0, 0.0
+
+    def far(self, a, b):
+        return math.sqrt(sum((x - y) ** 2 for x, y in zip(a, b, strict=True)))
+
+    def clean(self):
+        weak = {c["id"] for c in self.clusters if c["w"] < self.cfg.beta_noise}
+        self.clusters = [c for c in self.clusters if c["id"] not in weak]
+        self.links = {k: v for k, v in self.links.items() if not weak & set(k)}
+
+    def insert(self, x, t):
+        if t < self.last:
+            return
+        for c in self.clusters:
+            c["w"] *= math.exp(-self.cfg.lambda_ * (t - c["t"]))
+            c["t"] = t
+        hit = [c for c in self.clusters if self.far(c["c"], x) < self.cfg.epsilon]
+        if hit:
+            for c in hit:
+                c["w"] += 1
+            pull = [self.cfg.eta * math.exp(-(self.far(c["c"], x) ** 2) / (2 * self.cfg.epsilon**2)) for c in hit]
+            moved = [[a + p * (b - a) for a, b in zip(c["c"], x, strict=True)] for c, p in zip(hit, pull, strict=True)]
+            if all(self.far(a, b) >= self.cfg.epsilon for i, a in enumerate(moved) for b in moved[i + 1 :]):
+                for c, m in zip(hit, moved, strict=True):
+                    c["c"] = m
+            for i, a in enumerate(hit):
+                for b in hit[i + 1 :]:
+                    w, seen, _ = self.links.get((a["id"], b["id"]), (0.0, t, 0.0))
+                    w = w * math.exp(-self.cfg.lambda_ * (t - seen)) + 1
+                    self.links[a["id"], b["id"]] = (w, t, 2 * w / (a["w"] + b["w"]))
+        else:
+            if len(self.clusters) >= self.cfg.max_clusters:
+                self.clean()
+                if len(self.clusters) >= self.cfg.max_clusters:
+                    return
+            self.clusters.append({"id": self.inserts, "c": list(x), "w": 1.0, "t": t})
+        self.inserts += 1
+        if self.inserts % 100 == 0:
+            self.clean()
+        self.last = t
+
+    def assigned(self, points):
+        core = [c for c in self.clusters if c["w"] >= self.cfg.mu]
+        group = {c["id"]: c["id"] for c in core}
+        for (a, b), (_, _, connection) in self.links.items():
+            if a in group and b in group and connection >= self.cfg.connection:
+                old, new = group[a], group[b]
+                group = {k: new if v == old else v for k, v in group.items()}
+        labels = {}
+        for c in core:
+            labels.setdefault(group[c["id"]], len(labels))
+        out = []
+        for x in points:
+            d, best = min(((self.far(c["c"], x), labels[group[c["id"]]]) for c in core), default=(math.inf, -1))
+            out.append(best if d <= 1.5 * self.cfg.epsilon else -1)
+        return out
+
+
+@pytest.mark.parametrize("cfg", [dict(epsilon=0.1, mu=3.0, lambda_=0.01, connection=0.3, max_clusters=60), dict(epsilon=0.15, mu=2.0, lambda_=0.01, connection=0.2, max_clusters=8, beta_noise=0.8)])
+def test_dbstream_against_a_sequential_model(spark, cfg):
+    rng = np.random.default_rng(4)
+    rows = [(p, p * 1000 + i, float(t), *map(float, np.clip(rng.normal(rng.choice([0.2, 0.5, 0.8]), 0.08, 2), 0, 1))) for p in range(3) for i, t in enumerate(np.sort(rng.integers(0, 400, 350)))]
+    df = spark.createDataFrame(rows, "pid long, flow_idx long, t double, a double, b double").repartition(4)
+    cfg = DbstreamConfig(**({"eta": 0.15, "beta_noise": 0.5} | cfg))
+    got = {r.flow_idx: (r.assignment, r.x, r.y) for r in learners.dbstream_partitions(df, ["a", "b"], cfg).collect()}
+    for p in range(3):
+        part = [r for r in rows if r[0] == p]
+        x = np.array([r[3:] for r in part])
+        x = (x - x.min(0)) / (x.max(0) - x.min(0))
+        plain = PlainStream(cfg)
+        for v, r in zip(x.tolist(), part, strict=True):
+            plain.insert(v, r[2])
+        want = plain.assigned(x.tolist())
+        assert [got[r[1]][0] for r in part] == want
+        centred = x - x.mean(0)
+        assert np.abs([got[r[1]][1:] for r in part]) == pytest.approx(np.abs(centred @ np.linalg.svd(centred, full_matrices=False)[2].T), abs=1e-9)
+
+
+def test_greedy_partitions_against_a_plain_one(spark):
+    rng = np.random.default_rng(6)
+    rows = [(i, int(a), int(b)) for i, (a, b) in enumerate(rng.integers(0, 30, (400, 2)))]
+    df = spark.createDataFrame(rows, "flow_idx long, src_ip long, dst_ip long").repartition(3)
+    load, seen, want = [0] * 7, [set() for _ in range(7)], []
+    for _, a, b in rows:
+        most = max(load) + 1
+        score = [(a in s) + (b in s) - n / most for s, n in zip(seen, load, strict=True)]
+        p = score.index(max(score))
+        load[p] += 1
+        seen[p] |= {a, b}
+        want.append(p)
+    for bits in (None, 1 << 14):
+        assert [r.pid for r in learners.greedy_partitions(df, 7, bits=bits).orderBy("flow_idx").collect()] == want
+
+
+def test_leader_clusters_against_a_plain_one(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, int(a), int(b), int(p), 80, 1, 1_000_000 * i, 1_000_000 * (i + int(d)), int(n), int(m)) for i, (a, b, p, d, n, m) in enumerate(zip(*rng.integers(0, [[3], [2], [65000], [50], [40], [90000]], (6, 300)), strict=True))]
+    df = spark.createDataFrame(rows, "flow_idx long, src_ip long, dst_ip long, src_port int, dst_port int, proto int, s long, e long, packets long, bytes long")
+    df = df.withColumn("ts_start", F.timestamp_micros("s")).withColumn("ts_end", F.timestamp_micros("e"))
+    vectors = {r.flow_idx: (r.src_ip, r.dst_ip, [r.l0, r.l1, r.l2, r.l3, r.l4]) for r in flows.leader_vector(df).collect()}
+    groups, want = {}, {}
+    for i in sorted(vectors):
+        a, b, x = vectors[i]
+        centres = groups.setdefault((a, b), [])
+        dot = lambda u, v: sum(p * q for p, q in zip(u, v, strict=True))
+        for j, (c, n) in enumerate(centres):
+            if dot(c, c) > 0 and dot(x, x) > 0 and dot(c, x) / math.sqrt(dot(c, c) * dot(x, x)) >= 0.9:
+                centres[j] = ([(p * n + q) / (n + 1) for p, q in zip(c, x, strict=True)], n + 1)
+                want[i] = j
+                break
+        else:
+            want[i] = len(centres)
+            centres.append((x, 1))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        assert {r.flow_idx: r.leader for r in flows.leader_clusters(df, 0.9).collect()} == want
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_order_statistics_with_hot_values_and_nulls(spark):
+    rng = np.random.default_rng(2)
+    rows = [(None if i % 5 == 0 else i % 3, 7.0 if rng.random() < 0.5 else float(rng.integers(0, 50))) for i in range(2000)]
+    df = spark.createDataFrame(rows, "k int, v double")
+    got = {r.k: (r.n, r.a, r.b) for r in profile.order_statistics(df, ["k"], "v", {"a": lambda n: F.lit(1), "b": lambda n: F.floor(n / 2) + 1}).collect()}
+    for k in (None, 0, 1, 2):
+        v = sorted(x for j, x in rows if j == k)
+        assert got[k] == (len(v), v[0], v[len(v) // 2])
+    stats = profile.feature_stats(df, ["v"]).first()
+    values = [x for _, x in rows]
+    assert (stats["median"], stats["mode"]) == (np.median(values), 7.0)
+    m = profile.median_mad(df, "v").first()
+    assert m["mad"] == pytest.approx(1.4826 * np.median(np.abs(np.array(values) - m["median"])))
+
+
 def test_partition_outlier_rules(spark):
     rows = [(0, i, float(i), 0.0 if i < 30 else 1.0) for i in range(40)]
     df = spark.createDataFrame(rows, "pid long, flow_idx long, t double, x double")
@@ -308,6 +447,86 @@ def test_csv_loader(spark, tmp_path):
         readers.parse_flow_lines(spark.createDataFrame([(0, bad)], "line_no long, value string")).collect()
 
 
+SHIPPED = {
+    "data_loader": {"data_type": "HyperVision", "data_path": "/d/x.data", "label_path": "/d/x.label", "train_ratio": 0.7, "data_size": 9},
+    "algorithm": "Mix",
+    "detector": {
+        "dbscan_config": {"epsilon": 0.07, "min_points": 11, "outline_threshold": 0.01},
+        "iforest_config": {"random_seed": 2026, "n_trees": 101, "sample_size": 256, "max_depth": 8, "outline_threshold": 0.5},
+        "dbstream_config": {"epsilon": 0.4, "lambda": 0.02, "mu": 5.0, "beta_noise": 0.15, "max_clusters": 1000, "eta": 0.15, "connection_threshold": 0.005},
+    },
+    "extractor": {"ttl_ms": 0, "wheel_granularity_ms": 5, "prune_interval_ms": 20},
+}
+
+
+def test_nested_config(spark):
+    c = config.from_dict(SHIPPED)
+    assert (c.data.data_type, c.data.data_path, c.data.label_path, c.data.train_ratio, c.data.data_size, c.algorithm) == ("HyperVision", "/d/x.data", "/d/x.label", 0.7, 9, "Mix")
+    assert (c.dbscan.epsilon, c.dbscan.min_points, c.dbscan.outline_threshold) == (0.07, 11, 0.01)
+    assert (c.iforest.random_seed, c.iforest.n_trees, c.iforest.sample_size, c.iforest.max_depth, c.iforest.outline_threshold) == (2026, 101, 256, 8, 0.5)
+    b = c.dbstream
+    assert (b.epsilon, b.lambda_, b.mu, b.beta_noise, b.max_clusters, b.eta, b.connection) == (0.4, 0.02, 5.0, 0.15, 1000, 0.15, 0.005)
+    assert (c.graph.ttl_ms, c.graph.wheel_granularity_ms, c.graph.prune_interval_ms, c.graph.mode) == (0, 5, 20, "cumulative")
+    for odd in ({"data_loader": {"path": "x"}}, {"detector": {"svm_config": {}}}, {"iforest": {"trees": 3}}, {"colour": 1}):
+        with pytest.raises((ValueError, TypeError), match="unknown keys"):
+            config.from_dict(odd)
+    with pytest.raises(ValueError, match="partitioning"):
+        config.from_dict({"partitioning": "other"})
+
+
+HEADERS = {
+    "RF": {"p_pred": "SrcIP,DstIP,Pred,Label", "p_metrics": "tp,tn,fp,fn,accuracy,precision,recall,fpr,f1,f2"},
+    "Mini_Batch_KMeans": {"p_pred": "SrcIP,DstIP,Pred,Label", "p_train_clusters": "Index,Cluster,Distance", "p_test_clusters": "Index,SrcIP,DstIP,Cluster,Distance,Label"},
+    "DBSCAN": {"p_pred": "SrcIP,DstIP,Dist,Pred,Label", "dbscan_pca_result": "x,y,assignments,label,is_outlier"},
+    "IForest": {"p_pred": "SrcIP,DstIP,Score,Pred,Label", "iforest_pca_result": "x,y,pred,label"},
+    "Mix": {"p_pred": "SrcIP,DstIP,Pred,Label", "dbstream_pca": "x,y,assignments,label,is_outlier,pid"},
+    "Analyze": {"pca_result": "x,y,label"},
+}
+
+
+@pytest.mark.parametrize("name", HEADERS)
+def test_every_detector_from_a_config_file_to_its_result_files(spark, tmp_path, name):
+    from netloom import main
+
+    rng = np.random.default_rng(3)
+    lines, labels = [], ""
+    for i in range(400):
+        bad = int(rng.random() < 0.3)
+        lines.append(f"4 {rng.integers(1, 20)} {rng.integers(30, 40)} {rng.integers(1, 60000)} 80 {i * 1_000_000} {17 if bad else 65} {rng.integers(40, 1500)}")
+        labels += str(bad)
+    (tmp_path / "p.data").write_text("\n".join(lines) + "\n")
+    (tmp_path / "p.label").write_text(labels)
+    shipped = json.loads(json.dumps(SHIPPED)) | {"algorithm": name, "output_dir": str(tmp_path / "out"), "partitions": 6, "partitioning": "bloom"}
+    shipped["data_loader"] |= {"data_path": str(tmp_path / "p.data"), "label_path": str(tmp_path / "p.label"), "data_size": -1}
+    shipped["detector"]["iforest_config"]["n_trees"] = 5
+    shipped["kmeans"] = {"k": 3, "iterations": 5}
+    (tmp_path / "c.json").write_text(json.dumps(shipped))
+    cfg = config.load(str(tmp_path / "c.json"))
+    result = main.run(spark, cfg)
+    for file, header in HEADERS[name].items():
+        got = spark.read.option("header", True).csv(str(tmp_path / "out" / f"{file}.csv"))
+        assert ",".join(got.columns) == header and got.count()
+    if result.predictions is not None:
+        m = result.metrics.first()
+        assert m.tp + m.tn + m.fp + m.fn == result.predictions.count()
+    text = writers.report(name, result)
+    assert text.startswith(name) and (name == "Analyze" or "accuracy" in text) and (name != "Mix" or "partitions selected" in text)
+
+
+def test_lines_of_several_files_keep_their_order(spark, tmp_path):
+    (tmp_path / "a.txt").write_text("a0\na1\n")
+    (tmp_path / "b.txt").write_text("".join(f"b{i}\n" for i in range(500)))
+    (tmp_path / "c.txt").write_text("")
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", 300)
+    try:
+        rows = readers.placed_lines(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    assert [r.value for r in rows] == ["a0", "a1", *(f"b{i}" for i in range(500))] and [r.line_no for r in rows] == list(range(502))
+    assert [r.file_line for r in rows[:4]] == [0, 1, 0, 1]
+
+
 def test_config_and_sinks(spark, tmp_path):
     (tmp_path / "c.json").write_text(json.dumps({"algorithm": "IForest", "iforest": {"n_trees": 3}, "dbstream": {"lambda": 0.5, "epsilon": 0.4}, "extractor": {"ttl_ms": 7}}))
     cfg = config.load(str(tmp_path / "c.json"))
