@@ -546,3 +546,18 @@ def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) ->
     single = found.where(F.col(f"{box}r").isNull()).drop(box, box + "r")
     again = found.where(F.col(f"{box}r").isNotNull()).dropDuplicates([box]).drop(box, box + "r")
     return single.union(again)
+
+
+def report_sql(k: int = SHINGLE, percent: int = PERCENT) -> str:
+    """``report`` in DuckDB SQL, for tables of unique ids."""
+    return rf"""
+WITH RECURSIVE w AS (SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, greatest(1, len(w) - {k - 1}) + 1)) AS p FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT p.doc_id, array_to_string(w[p.p : p.p + {k - 1}], ' ') AS s FROM p JOIN w ON p.doc_id = w.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+pairs AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT x, y FROM pairs JOIN n a ON x = a.doc_id JOIN n b ON y = b.doc_id WHERE 100 * c >= {percent} * (a.n + b.n - c)),
+edges AS (SELECT x, y FROM links UNION ALL SELECT y, x FROM links),
+reach(x, y) AS (SELECT doc_id, doc_id FROM w UNION SELECT reach.x, edges.y FROM reach JOIN edges ON reach.y = edges.x)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, r.c AS component_id
+FROM w LEFT JOIN n ON w.doc_id = n.doc_id JOIN (SELECT x, min(y) AS c FROM reach GROUP BY x) r ON w.doc_id = r.x"""

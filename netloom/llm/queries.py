@@ -57,4 +57,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": mixing.mix_sql(MIX_WEIGHTS)}
+    return {"op1_substring_dedup": substring_dedup.report_sql(), "op3_mixing": mixing.mix_sql(MIX_WEIGHTS), "op10_ngram_join": ngram_join.report_sql()}

@@ -13,12 +13,16 @@ segments of one anchor are compared:
    but the first of them are repeats.
 2. What is left meets by anchor, in order of words and place.  Of equal segments
    the first leads and the others are repeats; leads of an anchor with other
-   leads are contested.
+   leads are contested.  Anchors with over a HOT_SHARE-th of the segments of a
+   sample of documents, fewer than HOT_SHARE, are dealt over SALTS tasks by their
+   segments' words, and all their leads count as contested: the sample decides
+   where segments meet, not what is found.
 3. The contested leads' words, in order of place, are streamed against the
    suffix automaton of their shard, which grows by each of them: matching
    statistics of ``min_words`` or more are windows that started earlier.
-   An anchor with over HOT leads (a frequent word n-gram) is instead split into
-   its windows, and the first place of each is found by partial aggregates.
+   An anchor with over HOT leads (a frequent word n-gram) is split into shards of
+   one window's words each, of which no automaton is needed: the first place of
+   each is found by partial aggregates.
 4. The repeats' spans meet their documents by id, and their words are cut out.
 
 Cases: null and empty texts have no words; texts under ``min_words`` words are
@@ -46,9 +50,13 @@ from netloom.functions.store import stored
 MIN_WORDS = 20
 ANCHOR = 5
 #: An anchor with more contested segments than this is split into windows.
-HOT = 4_000
+HOT = 256
+HOT_SHARE = 5_000
+SALTS = 64
+#: One in so many documents is sampled for hot anchors, and the least segments of one there.
+SAMPLE, SAMPLE_LEAST = 16, 64
 
-SEGMENT = "a long, sh long, id long, tie int, pos int, n int"
+SEGMENT = "a long, salt int, sh long, id long, tie int, pos int, n int"
 MARK = "kind int, a long, id long, tie int, pos int, n int"
 REPEAT, CONTESTED, KEEP = range(3)
 
@@ -156,7 +164,28 @@ def _spans(starts: np.ndarray, sizes: np.ndarray, group: np.ndarray) -> tuple[np
     return starts[at], np.append(ends[at[1:] - 1], ends[-1]) - starts[at], group[at]
 
 
-def _local(k: int):
+def _anchors(k: int):
+    """(anchor, its segments in a batch)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for c in T.chunks(batch.column("text")):
+                a, n = np.unique(segments(T.words(c), k)[2], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(n)], ["a", "n"])
+
+    return run
+
+
+def hot_anchors(texts: DataFrame, k: int) -> np.ndarray:
+    """The sorted hashes of the hot anchors of a sample of documents, at most HOT_SHARE."""
+    some = texts.where(F.pmod(F.xxhash64("id", "tie"), F.lit(SAMPLE)) == 0).select("text")
+    counts = stored(some.mapInArrow(_anchors(k), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "segments_sampled")
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    rows = counts.where(F.col("n") > max(SAMPLE_LEAST, total // HOT_SHARE)).select("a").collect()  # fewer than HOT_SHARE
+    return np.sort(np.array([r["a"] for r in rows], np.int64))
+
+
+def _local(k: int, sent):
     """Step 1: the segments that are left, and as rows of negative n the spans of repeats."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,12 +210,13 @@ def _local(k: int):
             start, n, of = _spans(pos[gone], size[gone], row[gone])
             at = order[new]
             route = T.mix(ids[of].view(np.uint64) + np.uint64(1)).view(np.int64)
+            salt = np.where(np.isin(anchor[at].view(np.int64), sent.value), 1 + (content[at] % np.uint64(SALTS)).astype(np.int64), 0)
             cols = (
-                np.concatenate([anchor[at].view(np.int64), route]), np.concatenate([content[at].view(np.int64), np.zeros(len(of), np.int64)]),
+                np.concatenate([anchor[at].view(np.int64), route]), np.concatenate([salt, np.zeros(len(of), np.int64)]).astype(np.int32), np.concatenate([content[at].view(np.int64), np.zeros(len(of), np.int64)]),
                 ids[np.concatenate([row[at], of])], ties[np.concatenate([row[at], of])],
                 np.concatenate([pos[at], start]).astype(np.int32), np.concatenate([size[at], -n]).astype(np.int32),
             )
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "sh", "id", "tie", "pos", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "salt", "sh", "id", "tie", "pos", "n"])
 
     return run
 
@@ -198,30 +228,30 @@ def _marks(kind: int | np.ndarray, a, ids, ties, pos, n) -> pa.RecordBatch:
 
 
 def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Step 2, over rows in order of (a, sh, id, tie, pos)."""
-    names = ("a", "sh", "id", "tie", "pos", "n")
+    """Step 2, over rows in order of (a, salt, sh, id, tie, pos)."""
+    names = ("a", "salt", "sh", "id", "tie", "pos", "n")
     lead: tuple | None = None  # of the last run
     told = True  # whether that lead is known to be contested and given
     for batch in batches:
         if not batch.num_rows:
             continue
         cols = [batch.column(x).to_numpy() for x in names]
-        if (cols[5] < 0).any():
-            known = cols[5] < 0
-            yield _marks(REPEAT, *(c[known] for c in (cols[0], *cols[2:5])), -cols[5][known])
+        if (cols[6] < 0).any():
+            known = cols[6] < 0
+            yield _marks(REPEAT, *(c[known] for c in (cols[0], *cols[3:6])), -cols[6][known])
             cols = [c[~known] for c in cols]
             if not len(cols[0]):
                 continue
         if lead is not None:  # in front of the others, as if it were the batch's first row
             cols = [np.concatenate([np.array([x], c.dtype), c]) for x, c in zip(lead, cols, strict=True)]
-        a, sh, ids, ties, pos, n = cols
+        a, salt, sh, ids, ties, pos, n = cols
         new = np.ones(len(a), bool)
         new[1:] = (a[1:] != a[:-1]) | (sh[1:] != sh[:-1])
         runs = np.flatnonzero(new)
         of = runs[np.cumsum(new) - 1]
         repeat = np.flatnonzero((ids != ids[of]) | (ties != ties[of]) | (pos != pos[of]))
         near = a[runs[1:]] == a[runs[:-1]]
-        contested = np.zeros(len(runs), bool)
+        contested = salt[runs] > 0  # segments of other words may have met elsewhere
         contested[1:] |= near
         contested[:-1] |= near
         give = contested.copy()
@@ -304,8 +334,9 @@ def _marked(docs: DataFrame, k: int) -> DataFrame:
         F.coalesce(F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int"), F.lit(0)).alias("tie"),
     )
     texts = keyed.select("id", "tie", F.col("row.text").alias("text")).where(F.col("text").isNotNull())
-    local = texts.mapInArrow(_local(k), SEGMENT)
-    met = stored(local.repartition(F.col("a")).sortWithinPartitions("a", "sh", "id", "tie", "pos").mapInArrow(_meet, MARK), "segments_met")
+    hot = docs.sparkSession.sparkContext.broadcast(hot_anchors(texts, k))
+    local = texts.mapInArrow(_local(k, hot), SEGMENT)
+    met = stored(local.repartition(F.col("a"), F.col("salt")).sortWithinPartitions("a", "salt", "sh", "id", "tie", "pos").mapInArrow(_meet, MARK), "segments_met")
     repeats, contested = met.where(F.col("kind") == REPEAT), met.where(F.col("kind") == CONTESTED)
     hot = contested.groupBy("a").count().where(F.col("count") > HOT).select("a", F.lit(True).alias("hot"))
     hot = stored(hot, "segments_hot")  # else the leads of a frequent anchor would meet in a task
@@ -396,3 +427,19 @@ def removed(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(cols.values()), list(cols))
 
     return _marked(docs, min_words).mapInArrow(run, schema)
+
+
+def report_sql(min_words: int = MIN_WORDS) -> str:
+    """``report`` in DuckDB SQL, for tables of unique ids."""
+    k = min_words
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(1, len(w) - {k - 2})) AS p FROM d WHERE len(w) >= {k}),
+k AS (SELECT p.doc_id, p.p, array_to_string(w[p.p : p.p + {k - 1}], ' ') AS words FROM p JOIN d ON p.doc_id = d.doc_id),
+again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY words ORDER BY doc_id, p) AS n FROM k) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(p, p + {k})) AS i FROM again),
+each AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS i FROM d),
+kept AS (SELECT e.doc_id, string_agg(e.word, ' ' ORDER BY e.i) AS text FROM each e ANTI JOIN gone g ON e.doc_id = g.doc_id AND e.i = g.i GROUP BY e.doc_id),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN n ON d.doc_id = n.doc_id LEFT JOIN kept ON d.doc_id = kept.doc_id"""

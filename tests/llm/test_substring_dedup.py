@@ -37,9 +37,10 @@ def passages(seed=1):
     return rows + [(100, None), (101, ""), (102, "w " * 90), (103, "a b " * 80), (104, "a b " * 80), (105, rows[3][1])]
 
 
-@pytest.mark.parametrize("hot", [4000, 3])
-def test_against_brute_force(spark, monkeypatch, hot):
-    monkeypatch.setattr(sd, "HOT", hot)
+@pytest.mark.parametrize(("hot", "sample"), [(4000, {}), (3, {}), (3, {"SAMPLE": 1, "SAMPLE_LEAST": 1, "HOT_SHARE": 10**9}), (4000, {"SAMPLE": 1, "SAMPLE_LEAST": 2, "HOT_SHARE": 10**9})])
+def test_against_brute_force(spark, monkeypatch, hot, sample):
+    for name, value in {"HOT": hot, **sample}.items():
+        monkeypatch.setattr(sd, name, value)
     rows = passages()
     assert reported(spark, rows) == brute(rows, 20)
 
@@ -82,3 +83,10 @@ def test_automaton_matching_statistics():
         subs = {tuple(s[i:j]) for s in seqs for i in range(len(s)) for j in range(i, len(s) + 1)}
         want = [max(n for n in range(i + 2) if tuple(q[i + 1 - n : i + 1]) in subs) for i in range(len(q))]
         assert a.matches(q) == want
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i % 4999}x{i // 7}" for i in range(120_000)]
+    rows = [(1, " ".join(words)), (2, " ".join([*words[50_000:50_400], "end"]))]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in sd.report(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: (120_000, 0), 2: (401, 400)}
