@@ -51,9 +51,10 @@ def _result(pred: DataFrame, **tables: DataFrame) -> Result:
 
 
 def analyze(flows: DataFrame, cfg: EngineConfig) -> Result:
+    """Statistics of the features, rounded to 6 places (a mode should not hang on last bits), and their plane."""
     f = featured(flows, cfg)
     scaled = scaling.fit_scaler(f, graph.FEATURES).transform(f)
-    return Result(None, None, {"stats": profile.feature_stats(f, graph.FEATURES), "pca": scaling.pca_2d(scaled, graph.FEATURES, ["label"])})
+    return Result(None, None, {"stats": profile.feature_stats(f.select(*(F.round(c, 6).alias(c) for c in graph.FEATURES)), graph.FEATURES), "pca": scaling.pca_2d(scaled, graph.FEATURES, ["label"])})
 
 
 def random_forest(flows: DataFrame, cfg: EngineConfig) -> Result:
