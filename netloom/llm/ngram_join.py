@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import textops as T
 from netloom.llm.mixing import fresh
-from netloom.functions.store import stored
+from netloom.functions.store import discard, stored
 
 SHINGLE = 4
 PERCENT = 85
@@ -443,13 +443,15 @@ def components(links: DataFrame) -> DataFrame:
     both = stored(links.select("x", "y").union(links.select("y", "x")).toDF("u", "v").where("u != v").distinct(), "links")
     labels = stored(both.groupBy("v").agg(F.least(F.min("u"), F.col("v")).alias("root")), "roots")
     while True:
-        near = both.join(labels.withColumnRenamed("v", "u"), "u").groupBy("v").agg(F.min("root").alias("near"))
-        lower = labels.join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
+        near = both.join(labels.select(F.col("v").alias("u"), "root"), "u").groupBy("v").agg(F.min("root").alias("near"))
+        lower = labels.select("v", "root").join(near, "v").select("v", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         jump = lower.select(F.col("v").alias("root"), F.col("root").alias("next"))
         new = stored(lower.join(jump, "root", "left").select("v", F.least(F.col("root"), F.coalesce("next", "root")).alias("root"), "was"), "roots")
+        discard(labels)
         if not new.where("root != was").limit(1).count():
+            discard(both)
             return new.select("v", "root")
-        labels = new.select("v", "root")
+        labels = new
 
 
 def _links(texts: DataFrame, k: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:

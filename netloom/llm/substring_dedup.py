@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
 from netloom.llm import textops as T
-from netloom.functions.store import stored
+from netloom.functions.store import discard, stored
 
 MIN_WORDS = 20
 ANCHOR = 5
@@ -182,6 +182,7 @@ def hot_anchors(texts: DataFrame, k: int) -> np.ndarray:
     counts = stored(some.mapInArrow(_anchors(k), "a long, n long").groupBy("a").agg(F.sum("n").alias("n")).where(F.col("n") > 1), "segments_sampled")
     total = counts.agg(F.sum("n")).first()[0] or 0
     rows = counts.where(F.col("n") > max(SAMPLE_LEAST, total // HOT_SHARE)).select("a").collect()  # fewer than HOT_SHARE
+    discard(counts)
     return np.sort(np.array([r["a"] for r in rows], np.int64))
 
 
