@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netloom.config import DbstreamConfig, IForestConfig, KMeansConfig
@@ -104,13 +104,24 @@ class IsolationForest:
         return df.withColumn(name, scored(*self.columns))
 
 
+def tree_rows(df: DataFrame, columns: list[str], cfg: IForestConfig, key: str) -> DataFrame:
+    """(tree, _h, columns, _n): the n_trees * sample_size rows of smallest hash of key are
+    dealt over the trees, so that each tree's rows are a sample of the whole table that no
+    other tree has; of a smaller table, each tree gets a draw of about 4 * sample_size rows."""
+    need = cfg.n_trees * cfg.sample_size
+    pool = df.select(F.xxhash64(F.lit(cfg.random_seed), key).alias("_h"), *columns).orderBy("_h", *columns).limit(need)
+    pool = stored(pool.withColumn("_n", F.row_number().over(Window.orderBy("_h", *columns)) - 1), "forest_pool")  # a bounded number of rows
+    size = pool.count()
+    if size == need:
+        return pool.withColumn("tree", (F.col("_n") % cfg.n_trees).cast("long"))
+    trees = df.sparkSession.range(cfg.n_trees).withColumnRenamed("id", "tree")
+    picked = F.pmod(F.xxhash64("tree", "_n"), F.lit(max(size, 1))) < 4 * cfg.sample_size  # enough rows to draw from
+    return trees.join(F.broadcast(pool), picked)
+
+
 def fit_iforest(df: DataFrame, columns: list[str], cfg: IForestConfig, key: str) -> IsolationForest:
-    """Each tree takes sample_size rows of its own order by a hash of key and tree,
-    drawn from a bounded pool of the rows of smallest hashes."""
-    pool_size = max(4096, 16 * cfg.sample_size)
-    pool = df.select(F.xxhash64(F.lit(cfg.random_seed), key).alias("_h"), *columns).orderBy("_h", *columns).limit(pool_size)
-    pool = stored(pool, "forest_pool")
-    spread = df.sparkSession.range(cfg.n_trees).withColumnRenamed("id", "tree").join(F.broadcast(pool))  # trees x bounded pool
+    """Each tree takes sample_size of its rows; see tree_rows."""
+    spread = tree_rows(df, columns, cfg, key)
     schema = "tree long, feature array<int>, split array<double>, left array<int>, right array<int>, size array<int>, n int"
 
     def build(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -2,6 +2,7 @@ import io
 import json
 import math
 import struct
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -160,6 +161,16 @@ def test_isolation_forest_finds_the_outlier(spark):
     assert got[0].i == 500 and all(0 < r.score <= 1 for r in got)
 
 
+def test_trees_of_a_large_table_share_no_rows(spark):
+    df = spark.range(3000).select("id", F.col("id").cast("double").alias("a"))
+    cfg = IForestConfig(n_trees=20, sample_size=64)
+    rows = learners.tree_rows(df, ["a"], cfg, "id").select("tree", "a").collect()
+    assert Counter(r.tree for r in rows) == {t: 64 for t in range(20)} and len({r.a for r in rows}) == 20 * 64
+    small = learners.fit_iforest(df.where("id < 1000"), ["a"], cfg, "id")
+    assert small.sample_size == 64 and [int(t.size[0]) for t in small.trees] == [64] * 20
+    assert learners.fit_iforest(df.where("id < 0"), ["a"], cfg, "id").trees == []
+
+
 def plain_dbscan(x, eps, least):
     near = [set(np.flatnonzero(((x - p) ** 2).sum(1) <= eps * eps).tolist()) for p in x]
     core = {i for i, s in enumerate(near) if len(s) >= least}
