@@ -7,6 +7,7 @@ on the data.
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,10 +18,14 @@ from pyspark.sql import functions as F
 
 from netloom.config import DbstreamConfig, IForestConfig, KMeansConfig
 from netloom.functions.store import discard, stored
+from netloom.operators.joins import by_key
+from netloom.operators.scaling import fit_pca
 
 EULER = 0.5772156649015329
 #: Columns that DBSCAN compares while it joins; more are compared for the pairs within epsilon on these.
 AHEAD = 20
+#: Principal axes of DBSCAN's cells, and how many of a cell's points one task compares with its neighbours.
+CELL_AXES, CELL_POINTS = 3, 4096
 
 
 def expected_path(n: Column) -> Column:
@@ -172,40 +177,85 @@ def fit_kmeans(df: DataFrame, columns: list[str], cfg: KMeansConfig, key: str) -
 def dbscan(df: DataFrame, columns: list[str], epsilon: float, min_points: int, idx: str = "idx") -> DataFrame:
     """df with cluster: the smallest core idx of its density-connected component, null for noise.
 
-    Rows fall into cells of side epsilon on the two columns of the largest spread; a
-    cell meets itself and its neighbours, so a pair within epsilon meets once.
-    Pairs meet with AHEAD columns at most, whose distance bounds the whole one;
-    those that stay are compared by all columns.
-    Equal rows are one weighted point, which keeps copies from forming pairs."""
-    point = F.xxhash64(*columns)
-    rows = stored(df.select(idx, point.alias("_p"), *columns), "dbscan_rows")
-    points = stored(rows.groupBy("_p", *columns).agg(F.count("*").alias("_w"), F.min(idx).alias("_i")), "dbscan_points")
-    spread = points.agg(*(F.stddev_pop(c).alias(c) for c in columns)).first()
-    axes = sorted(columns, key=lambda c: -(spread[c] or 0.0))[:2]
-    cell = [F.floor(F.col(c) / epsilon).cast("long") for c in axes]
-    ahead = columns if len(columns) <= AHEAD else sorted(columns, key=lambda c: -(spread[c] or 0.0))[:AHEAD]
-    a = points.select("_p", "_w", "_i", *(F.col(c).alias(f"_x{i}") for i, c in enumerate(ahead)), *(c.alias(f"_c{i}") for i, c in enumerate(cell)))
-    near = F.explode(F.array(*(F.lit(o).cast("long") for o in (-1, 0, 1))))
-    b = a
-    for i in range(len(axes)):
-        b = b.withColumn("_o", near).withColumn(f"_c{i}", F.col(f"_c{i}") + F.col("_o")).drop("_o")
-    b = b.select(*(F.col(f"_c{i}") for i in range(len(axes))), F.col("_p").alias("_q"), F.col("_w").alias("_v"), F.col("_i").alias("_j"), *(F.col(f"_x{i}").alias(f"_y{i}") for i in range(len(ahead))))
-    terms = [(F.col(f"_x{i}") - F.col(f"_y{i}")) * (F.col(f"_x{i}") - F.col(f"_y{i}")) for i in range(len(ahead))]
-    room = 1.0 if ahead == columns else 1.0 + 1e-9
-    pairs = a.join(b, [f"_c{i}" for i in range(len(axes))]).where(sum(terms[1:], terms[0]) <= epsilon * epsilon * room).select("_p", "_w", "_i", "_q", "_v", "_j")
-    if ahead != columns:
-        x, y = points.select("_p", F.array(*columns).alias("_x")), points.select(F.col("_p").alias("_q"), F.array(*columns).alias("_y"))
-        d2 = F.aggregate(F.zip_with("_x", "_y", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, v: s + v)
-        pairs = stored(pairs, "dbscan_met").join(x, "_p").join(y, "_q").where(d2 <= epsilon * epsilon).select("_p", "_w", "_i", "_q", "_v", "_j")
-    pairs = stored(pairs, "dbscan_pairs")
-    core = pairs.groupBy("_p", "_i").agg(F.sum("_v").alias("_n")).where(F.col("_n") >= min_points).select("_p", "_i")
-    core = stored(core, "dbscan_core")
-    links = pairs.join(core.select("_p"), "_p", "left_semi").join(core.select(F.col("_p").alias("_q")), "_q", "left_semi").select(F.col("_i").alias("u"), F.col("_j").alias("v"))
-    roots = min_labels(links)
-    named = core.join(roots.select(F.col("v").alias("_i"), F.col("root").alias("cluster")), "_i", "left").select("_p", F.coalesce("cluster", "_i").alias("cluster"))
-    border = pairs.join(named.select(F.col("_p").alias("_q"), "cluster"), "_q").groupBy("_p").agg(F.min("cluster").alias("_near"))
-    out = border.join(named, "_p", "left").select("_p", F.coalesce("cluster", "_near").alias("cluster"))
-    return df.join(rows.select(idx, "_p").join(out, "_p").select(idx, "cluster"), idx, "left")
+    Equal rows are one weighted point.  Points fall into cells of side epsilon on the
+    first principal axes, so a pair within epsilon lies in one cell or in two that
+    touch; it is met once.  No task holds a cell of many points: they are dealt over
+    parts.  Grains are boxes whose points are all within epsilon of each other: the
+    core points of a grain are connected without comparing them, and those of a grain
+    of min_points rows are core without counting.  Pairs are counted as they are met,
+    not kept; what is kept are links between grains and, for a point that is not core,
+    its core neighbours, of which it has less than min_points.  Rows with a value that
+    is null or not finite are noise; no rows give none; idx must be unique."""
+    if not epsilon > 0:
+        raise ValueError("epsilon must be positive")
+    rows = stored(df.select(idx, F.xxhash64(*columns).alias("_p"), *columns), "dbscan_rows")
+    finite = " AND ".join(f"abs(`{c}`) < double('Infinity')" for c in columns)
+    points = stored(rows.where(finite).groupBy("_p", *columns).agg(F.count("*").alias("_w"), F.min(idx).alias("_i")), "dbscan_points")
+    placed = _placed(points, columns, epsilon)
+    dense = stored(placed.groupBy("_g").agg(F.sum("_w").alias("_n")).where(F.col("_n") >= min_points).select("_g", F.lit(True).alias("_d")), "dbscan_dense")
+    placed = stored(by_key(placed, dense, "_g", "left").withColumn("_d", F.coalesce("_d", F.lit(False))), "dbscan_marked")
+    hot = placed.groupBy("_c").agg(F.ceil(F.count("*") / CELL_POINTS).alias("_parts")).where("_parts > 1")
+    hot = stored(hot, "dbscan_hot")
+
+    counted = _within(placed, hot, epsilon, ["_w", "_d"], ~(F.col("_a._d") & F.col("_b._d")))
+    ends = F.explode(F.array(F.struct(F.col("_p"), F.col("_b._w").alias("_v")), F.struct(F.col("_q").alias("_p"), F.col("_a._w").alias("_v")))).alias("_e")
+    near = counted.select(ends).groupBy("_e._p").agg(F.sum("_e._v").alias("_n"))
+    core = F.col("_d") | (F.col("_w") + F.coalesce("_n", F.lit(0)) >= min_points)
+    placed = stored(placed.join(near, "_p", "left").withColumn("_core", core).drop("_n"), "dbscan_core")
+
+    one, two, same = F.col("_a._core"), F.col("_b._core"), F.col("_a._g") == F.col("_b._g")
+    met = _within(placed, hot, epsilon, ["_g", "_core"], (one | two) & ~(one & two & same))
+    u = F.when(one & two, F.least("_a._g", "_b._g")).when(one, F.col("_q")).otherwise(F.col("_p"))
+    v = F.when(one & two, F.greatest("_a._g", "_b._g")).when(one, F.col("_a._g")).otherwise(F.col("_b._g"))
+    met = stored(met.select(u.alias("u"), v.alias("v"), (one & two).alias("links")).distinct(), "dbscan_met")
+
+    grains = placed.where("_core").groupBy("_g").agg(F.min("_i").alias("_i"))
+    roots = min_labels(met.where("links")).select(F.col("v").alias("_g"), "root")
+    grains = stored(grains.join(roots, "_g", "left").withColumn("root", F.coalesce("root", "_g")), "dbscan_grains")
+    first = stored(grains.groupBy("root").agg(F.min("_i").alias("cluster")), "dbscan_clusters")
+    named = stored(by_key(grains, first, "root").select("_g", "cluster"), "dbscan_named")
+    inner = by_key(placed.where("_core").select("_p", "_g"), named, "_g").select("_p", "cluster")
+    border = by_key(met.where("NOT links").select(F.col("u").alias("_p"), F.col("v").alias("_g")), named, "_g").groupBy("_p").agg(F.min("cluster").alias("cluster"))
+    out = stored(inner.unionByName(border), "dbscan_out")
+    return df.join(by_key(rows.select(idx, "_p"), out, "_p").select(idx, "cluster"), idx, "left")
+
+
+def _placed(points: DataFrame, columns: list[str], epsilon: float) -> DataFrame:
+    """points (_p, _w, _i, columns) with their values as columns _x0, ..., those of the
+    largest spread first, their cell _c and their grain _g (a hash of 64 bits)."""
+    axes = fit_pca(points, columns, min(CELL_AXES, len(columns)))
+    stats = points.agg(*(F.expr(x) for i, c in enumerate(columns) for x in (f"stddev_pop(`{c}`) AS s{i}", f"max(abs(`{c}`)) AS m{i}"))).first()
+    order = sorted(range(len(columns)), key=lambda i: -(stats[f"s{i}"] or 0.0))
+    # room for the rounding of projections
+    side = epsilon * (1 + 1e-6) + 1e-13 * len(columns) * max(stats[f"m{i}"] or 0.0 for i in order)
+    grain = epsilon / len(columns) ** 0.5 * (1 - 1e-6)
+    names = [f"_y{i}" for i in range(min(CELL_AXES, len(columns)))]
+    values = [F.expr(f"`{columns[i]}` AS _x{n}") for n, i in enumerate(order)]
+    seen = axes.transform(points, ["_p", "_w", "_i", *columns], names)
+    return seen.select("_p", "_w", "_i", *values, F.struct(*(F.floor(F.col(n) / side).alias(n) for n in names)).alias("_c"), F.expr(f"xxhash64({', '.join(f'floor(`{c}` / {grain!r}D)' for c in columns)}) AS _g"))
+
+
+def _within(placed: DataFrame, hot: DataFrame, epsilon: float, keep: list[str], where: Column) -> DataFrame:
+    """(_p, _q, _a, _b): each pair of points within epsilon once, with the columns ``keep``
+    of both as structs, if ``where`` holds for these.  hot: (_c, _parts), the cells dealt over parts."""
+    xs = [c for c in placed.columns if c.startswith("_x")]
+    ahead, rest = xs[:AHEAD], xs[AHEAD:]
+    tail = [F.array(*rest).alias("_x")] if rest else []
+    axes = placed.schema["_c"].dataType.fieldNames()
+    offsets = [o for o in itertools.product((-1, 0, 1), repeat=len(axes)) if o >= (0,) * len(axes)]
+    parts = F.coalesce("_parts", F.lit(1))
+    a = placed.select("_c", "_p", F.struct(*keep).alias("_a"), F.struct(*ahead, *tail).alias("_l"))
+    a = by_key(a, hot, "_c", "left").withColumn("_part", F.pmod(F.xxhash64("_p"), parts)).drop("_parts")
+    cells = F.array(*(F.struct(*((F.col(f"_c.{n}") + F.lit(d).cast("long")).alias(n) for n, d in zip(axes, o, strict=True))) for o in offsets))
+    b = placed.select(F.posexplode(cells).alias("_o", "_c"), F.col("_p").alias("_q"), F.struct(*keep).alias("_b"), F.struct(*ahead, *tail).alias("_r"))
+    b = by_key(b, hot, "_c", "left").withColumn("_part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("_parts")
+    d2 = F.expr(" + ".join(f"(_l.{x} - _r.{x}) * (_l.{x} - _r.{x})" for x in ahead))
+    close = d2 <= epsilon * epsilon
+    if rest:
+        d2 = F.aggregate(F.zip_with("_l._x", "_r._x", lambda x, y: (x - y) * (x - y)), d2, lambda s, v: s + v)
+        close &= d2 <= epsilon * epsilon
+    once = (F.col("_o") > 0) | (F.col("_p") < F.col("_q"))
+    return a.join(b, ["_c", "_part"]).where(once & where & close).select("_p", "_q", "_a", "_b")
 
 
 def min_labels(links: DataFrame) -> DataFrame:

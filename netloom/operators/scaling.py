@@ -39,8 +39,8 @@ class Pca:
     def transform(self, df: DataFrame, keep: list[str], names: tuple[str, ...] = ("x", "y")) -> DataFrame:
         out = []
         for j, name in enumerate(names):
-            terms = [(F.col(c) - float(m)) * float(w) for c, m, w in zip(self.columns, self.mean, self.loadings[:, j], strict=True)]
-            out.append(sum(terms[1:], terms[0]).alias(name))
+            terms = (f"(`{c}` - ({float(m)!r}D)) * ({float(w)!r}D)" for c, m, w in zip(self.columns, self.mean, self.loadings[:, j], strict=True))
+            out.append(F.expr(" + ".join(terms)).alias(name))
         return df.select(*keep, *out)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from netloom import config
 from netloom.config import DbstreamConfig, IForestConfig
 from netloom.functions import codes
-from netloom.operators import detectors, divergence, flows, graph, learners, ordering, profile, scaling
+from netloom.operators import detectors, divergence, flows, graph, joins, learners, ordering, profile, scaling
 from netloom.plans import model_queries as M
 from netloom.plans import views as V
 from netloom.sinks import writers
@@ -195,6 +195,22 @@ def test_dbscan_against_a_plain_one(spark):
     assert got == plain_dbscan(x, 0.25, 5)
 
 
+def test_dbscan_of_dealt_cells_and_rows_without_a_place(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    x = np.concatenate([rng.normal(0, 0.02, (120, 4)), rng.normal(1, 0.4, (60, 4)), rng.uniform(-1, 3, (40, 4)), np.full((9, 4), 2.0)])
+    names = ["a", "b", "c", "d"]
+    made = lambda rows: spark.createDataFrame([(i, *map(float, r)) for i, r in enumerate(rows)], "idx long, a double, b double, c double, d double")
+    monkeypatch.setattr(learners, "CELL_POINTS", 7)
+    monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", 0)
+    lost = spark.createDataFrame([(900, None, 0.0, 0.0, 0.0), (901, float("nan"), 0.0, 0.0, 0.0), (902, float("inf"), 0.0, 0.0, 0.0)], made(x).schema)
+    rows = learners.dbscan(made(x).union(lost), names, 0.2, 4).orderBy("idx").collect()
+    assert [r.cluster for r in rows] == [*plain_dbscan(x, 0.2, 4), None, None, None]
+    assert learners.dbscan(made(x[:0]), names, 0.2, 4).count() == 0
+    assert [r.cluster for r in learners.dbscan(made(x[:1]), names, 0.2, 1).collect()] == [0]
+    with pytest.raises(ValueError, match="epsilon"):
+        learners.dbscan(made(x), names, 0.0, 4)
+
+
 def test_dbstream_rules():
     s = learners.Dbstream(DbstreamConfig(epsilon=1.0, lambda_=0.01, mu=2.0, beta_noise=0.5, max_clusters=2, eta=0.1, connection=0.1))
     s.insert(np.array([0.0, 0.0]), 10.0)
