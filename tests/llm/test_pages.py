@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from netloom.llm import language_id, license_scan, queries, web
 from netloom.functions.store import table
+from netloom.operators import joins
 
 
 def test_visible_text_and_addresses(spark):
@@ -53,7 +54,9 @@ def fused(pages, k, base_weight=(language_id.HOST_WEIGHT, language_id.DOMAIN_WEI
     return out
 
 
-def test_fusion_against_plain_python(spark):
+@pytest.mark.parametrize("broadcast", [joins.MAX_BROADCAST_KEYS, 0])
+def test_fusion_against_plain_python(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", broadcast)
     docs = spark.createDataFrame([(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, None, "de"), (4, "x", None)], "doc_id long, text string, lang string")
     model = language_id.train(docs)
     assert model.languages == ["en", "fr"]
@@ -92,7 +95,9 @@ FILES = [
 ]
 
 
-def test_licenses(spark):
+@pytest.mark.parametrize("broadcast", [joins.MAX_BROADCAST_KEYS, 0])
+def test_licenses(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(joins, "MAX_BROADCAST_KEYS", broadcast)
     df = spark.createDataFrame(FILES, "id long, path string, text string")
     got = {r.id: (r.own_license, r.inherited_license, r.inherited_from, r.license) for r in license_scan.scan(df).collect()}
     assert got == {
