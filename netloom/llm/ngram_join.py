@@ -412,11 +412,44 @@ def _block(percent: int, every: bool):
     return run
 
 
-def _whole_sets(k: int):
+#: Bits of the filter of wanted documents: its size does not depend on the corpus.
+WANTED_BITS = 26
+WANTED_BLOCKS = 64
+
+
+def _marked(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    bits = np.zeros((1 << WANTED_BITS) // WANTED_BLOCKS, bool)
+    for batch in batches:
+        bits[batch.column("place").to_numpy() // WANTED_BLOCKS] = True
+    yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
+
+
+def _place():
+    """The bit of a document (id, tie) in the filter."""
+    return F.pmod(F.xxhash64("id", "tie"), F.lit(1 << WANTED_BITS))
+
+
+def filter_of(wanted: DataFrame) -> np.ndarray:
+    """[block, byte]: the bits of wanted documents (id, tie).  It may let others through, and holds none back."""
+    out = np.zeros((WANTED_BLOCKS, (1 << WANTED_BITS) // WANTED_BLOCKS // 8), np.uint8)
+    marked = wanted.select(_place().alias("place")).groupBy(F.pmod("place", F.lit(WANTED_BLOCKS)).alias("block")).applyInArrow(_marked, "block long, bits binary")
+    for r in marked.collect():  # WANTED_BLOCKS rows, whatever the corpus
+        out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
+    return out
+
+
+def _whole_sets(k: int, sent):
+    """(key, items) of the documents (place, text) that the filter lets through: their texts are not shuffled."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = sent.value
         for batch in batches:
-            sets = [s for c in T.chunks(batch.column("text")) for s in sets_of(c, k)]
-            yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
+            place = batch.column("place").to_numpy()
+            at = place // WANTED_BLOCKS
+            picked = batch.column("text").filter(pa.array((bits[place % WANTED_BLOCKS, at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            for c in T.chunks(picked) if len(picked) else ():
+                sets = list(sets_of(c, k))
+                yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
 
     return run
 
@@ -474,15 +507,19 @@ def _links(texts: DataFrame, k: int, percent: int, every: bool = False) -> tuple
     wide = chunks.select("*", *none).unionByName(two).repartition(F.col("token"), F.col("chunk"), F.col("chunk2"))
     planned = stored(wide.mapInArrow(_planned(percent), PLANNED), "join_planned")
     pairs = stored(rare.union(planned.where(F.col("x").isNotNull()).select("x", "y")).distinct(), "join_pairs")
+    discard(met)
     members = planned.where(F.col("key").isNotNull()).drop("x", "y")
 
     keys = pairs.select("x").union(pairs.select("y")).union(members.select("key")).toDF("key").distinct()
-    wanted = classes.join(keys, "key").select(F.col("first.id").alias("wanted"), F.col("first.tie").alias("wanted_tie"))
-    found = texts.join(wanted, F.col("id").eqNullSafe(F.col("wanted")) & (F.col("tie") == F.col("wanted_tie"))).select("text")
-    sets = stored(found.mapInArrow(_whole_sets(k), "key long, items binary").dropDuplicates(["key"]), "join_sets")
+    wanted = classes.join(keys, "key").select(F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
+    passes = texts.sparkSession.sparkContext.broadcast(filter_of(wanted))
+    sets = stored(texts.select(_place().alias("place"), "text").mapInArrow(_whole_sets(k, passes), "key long, items binary").dropDuplicates(["key"]), "join_sets")
     both = pairs.join(sets.select(F.col("key").alias("x"), F.col("items").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("b")), "y")
     blocks = members.join(sets, "key").groupBy("token", "c1", "c2").applyInArrow(_block(percent, every), "x long, y long")
-    return known, classes, stored(both.mapInArrow(_verified(percent), "x long, y long").union(blocks), "join_links")
+    links = stored(both.mapInArrow(_verified(percent), "x long, y long").union(blocks), "join_links")
+    for done in (planned, pairs, sets):
+        discard(done)
+    return known, classes, links
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -115,3 +115,25 @@ def test_repeated_and_null_ids(spark):
     rows = [(7, "a b c d e"), (7, "a b c d e"), (None, "A B C D E"), (None, None)]
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in nj.report(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == [(-1, 0, -1), (-1, 2, 7), (7, 2, 7), (7, 2, 7)]
+
+
+def test_filter_of_wanted_documents_holds_none_back(spark):
+    wanted = spark.createDataFrame([(i if i % 5 else None, i * 7919) for i in range(500)], "id long, tie long")
+    others = spark.createDataFrame([(i, -i) for i in range(1, 500)], "id long, tie long")
+    bits = nj.filter_of(wanted)
+    assert bits.nbytes == (1 << nj.WANTED_BITS) // 8
+
+    def let_through(rows):
+        place = np.array([r["p"] for r in rows.select(nj._place().alias("p")).collect()])
+        at = place // nj.WANTED_BLOCKS
+        return bits[place % nj.WANTED_BLOCKS, at >> 3] >> (7 - (at & 7)) & 1
+
+    assert let_through(wanted).all() and let_through(others).mean() < 0.01
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f g h i {i % 3}") for i in range(30)], "doc_id long, text string")
+    texts = nj._texts(docs)
+    sent = spark.sparkContext.broadcast(nj.filter_of(texts.select("id", "tie").where("id = 4")))
+    sets = texts.select(nj._place().alias("place"), "text").mapInArrow(nj._whole_sets(4, sent), "key long, items binary")
+    assert sets.count() == 1 and "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()

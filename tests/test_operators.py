@@ -2,6 +2,7 @@ import io
 import json
 import math
 import struct
+import time
 from collections import Counter
 
 import numpy as np
@@ -571,3 +572,19 @@ def test_addresses(spark):
     rows = [("1.2.3.4", "::1"), ("1.2.3.256", "zz"), ("1.2.3", None)]
     got = spark.createDataFrame(rows, "a string, b string").select(codes.ip_number(F.col("a")), codes.ip6_number(F.col("b")), codes.ip6_text(codes.ip6_number(F.col("b")))).collect()
     assert [tuple(r) for r in got] == [(16909060, "1", "::1"), (None, None, None), (None, None, None)]
+
+
+def test_a_stored_table_leaves_no_shuffle_files(spark):
+    from netloom.functions.store import stored
+
+    files = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    names = lambda: {x for x in files.getAllFiles().mkString("|").split("|") if "shuffle_" in x}
+    rows = spark.range(5000).groupBy((F.col("id") % 1000).alias("k")).count().repartitionByRange(3, "k")
+    before = names()
+    out = stored(rows, "clean")
+    for _ in range(50):  # files are deleted by another thread
+        if not (left := names() - before):
+            break
+        time.sleep(0.1)
+    assert not left and out.count() == 1000
+    assert spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled", None) is None
