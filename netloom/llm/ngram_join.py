@@ -40,6 +40,7 @@ import bisect
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -424,29 +425,36 @@ def _marked(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
     yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int64()), pa.array([np.packbits(bits).tobytes()], pa.binary())], ["block", "bits"])
 
 
-def _place():
+def _place(of: str = ""):
     """The bit of a document (id, tie) in the filter."""
-    return F.pmod(F.xxhash64("id", "tie"), F.lit(1 << WANTED_BITS))
+    return F.pmod(F.xxhash64(of + "id", of + "tie"), F.lit(1 << WANTED_BITS))
 
 
 def filter_of(wanted: DataFrame) -> np.ndarray:
     """[block, byte]: the bits of wanted documents (id, tie).  It may let others through, and holds none back."""
+    return _bits(wanted.select(_place().alias("place")))
+
+
+def _bits(places: DataFrame) -> np.ndarray:
     out = np.zeros((WANTED_BLOCKS, (1 << WANTED_BITS) // WANTED_BLOCKS // 8), np.uint8)
-    marked = wanted.select(_place().alias("place")).groupBy(F.pmod("place", F.lit(WANTED_BLOCKS)).alias("block")).applyInArrow(_marked, "block long, bits binary")
+    marked = places.groupBy(F.pmod("place", F.lit(WANTED_BLOCKS)).alias("block")).applyInArrow(_marked, "block long, bits binary")
     for r in marked.collect():  # WANTED_BLOCKS rows, whatever the corpus
         out[r["block"]] = np.frombuffer(r["bits"], np.uint8)
     return out
 
 
+def _within(bits: np.ndarray, place: np.ndarray) -> np.ndarray:
+    at = place // WANTED_BLOCKS
+    return (bits[place % WANTED_BLOCKS, at >> 3] >> (7 - (at & 7)) & 1).astype(bool)
+
+
 def _whole_sets(k: int, sent):
     """(key, items) of the documents (place, text) that the filter lets through: their texts are not shuffled."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = sent.value
         for batch in batches:
-            place = batch.column("place").to_numpy()
-            at = place // WANTED_BLOCKS
-            picked = batch.column("text").filter(pa.array((bits[place % WANTED_BLOCKS, at >> 3] >> (7 - (at & 7)) & 1).astype(bool)))
+            picked = batch.column("text").filter(pa.array(_within(bits, batch.column("place").to_numpy())))
             for c in T.chunks(picked) if len(picked) else ():
                 sets = list(sets_of(c, k))
                 yield pa.RecordBatch.from_arrays([pa.array([set_key(s) for s in sets], pa.int64()), pa.array([s.tobytes() for s in sets], pa.binary())], ["key", "items"])
@@ -570,21 +578,53 @@ def _components_of(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return _to_classes(known, stored(classes.join(names, "root").select("key", "copies", "component"), "join_named"))
 
 
+#: What becomes of a document, as far as its place tells.
+STAYS, GOES, UNSURE = 0, 1, 2
+
+
+def _fates(decided: DataFrame):
+    """A function of places: a place goes if all its documents (decided: id, tie, goes, times) go, and is unsure if
+    only some do, or if one that stays is repeated.  What is sent does not grow with the corpus."""
+    told = (F.col("goes") == 1) | (F.col("times") > 1)
+    at = stored(decided.groupBy(_place().alias("place")).agg(F.min("goes").alias("all"), F.max(told).alias("some")), "join_places")
+    bits = [_bits(at.where(c).select("place")) for c in ("all = 1", "all = 0 AND some")]
+    sent = decided.sparkSession.sparkContext.broadcast(bits)
+    discard(at)
+
+    @F.pandas_udf("int")
+    def fate(places: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        gone, unsure = sent.value
+        for p in places:
+            yield pd.Series(np.where(_within(gone, p.to_numpy()), GOES, np.where(_within(unsure, p.to_numpy()), UNSURE, STAYS)).astype(np.int32))
+
+    return fate
+
+
 def first_of_each(docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs, of each component only the document of smallest id (without ids, and among
     texts of one id, of smallest text hash); of repeated rows of it one stays, and rows
-    without words all stay."""
+    without words all stay.
+
+    Texts are not shuffled, but for the few whose place in a filter of fixed size is
+    that of documents that go and of others that stay."""
     found = _components_of(docs, k, percent)
     first = F.struct(F.col("id").isNull().alias("none"), "id", "tie")
-    rows = stored(found.where("key != 0").groupBy("id", "tie").agg(F.min(F.when(first != F.col("component"), 1).otherwise(0)).alias("goes"), F.count("*").alias("times")).where("goes = 1 OR times > 1"), "join_decided")
+    goes = (F.col("key") != 0) & (first != F.col("component"))
+    decided = found.groupBy("id", "tie").agg(F.min(F.when(goes, 1).otherwise(0)).alias("goes"), F.count_if(F.col("key") != 0).alias("times"))
+    decided = stored(decided, "join_decided")
+    fate = _fates(decided)
     box = fresh(docs, "decided")
     tied = docs.withColumn(box, F.struct(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.xxhash64("text"), F.lit(0)).alias("tie")))
+    seen = tied.withColumn(box + "f", fate(_place(box + ".")))
+    sure = seen.where(F.col(box + "f") == STAYS).drop(box, box + "f")
+    rows = decided.where("goes = 1 OR times > 1")
     named = rows.select(F.struct(F.col("id").alias("id"), F.col("tie").alias("tie"), "goes").alias(box + "r"))
     match = F.col(f"{box}.id").eqNullSafe(F.col(f"{box}r.id")) & (F.col(f"{box}.tie") == F.col(f"{box}r.tie"))
-    found = tied.join(named, match, "left").where(F.coalesce(F.col(f"{box}r.goes"), F.lit(0)) == 0)
+    found = seen.where(F.col(box + "f") == UNSURE).drop(box + "f").join(named, match, "left").where(F.coalesce(F.col(f"{box}r.goes"), F.lit(0)) == 0)
+    found = stored(found, "join_unsure")
     single = found.where(F.col(f"{box}r").isNull()).drop(box, box + "r")
     again = found.where(F.col(f"{box}r").isNotNull()).dropDuplicates([box]).drop(box, box + "r")
-    return single.union(again)
+    return sure.union(single).union(again)
 
 
 def report_sql(k: int = SHINGLE, percent: int = PERCENT) -> str:

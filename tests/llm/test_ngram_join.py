@@ -4,6 +4,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from netloom.llm import ngram_join as nj
 
@@ -137,3 +138,22 @@ def test_texts_are_not_shuffled_for_their_sets(spark):
     sent = spark.sparkContext.broadcast(nj.filter_of(texts.select("id", "tie").where("id = 4")))
     sets = texts.select(nj._place().alias("place"), "text").mapInArrow(nj._whole_sets(4, sent), "key long, items binary")
     assert sets.count() == 1 and "Exchange" not in sets._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("places", [None, 97])
+def test_first_of_each_shuffles_no_texts_that_a_place_decides(spark, monkeypatch, places):
+    """With few places most hold documents that go and others that stay; both ways keep the same rows."""
+    if places:
+        monkeypatch.setattr(nj, "_place", lambda of="": F.pmod(F.xxhash64(of + "id", of + "tie"), F.lit(places)))
+    names = [f"w{i}" for i in range(40)]
+    rows = [(i, " ".join([*names, str(i // 3)]) if i % 2 else f"{i} one of its own {i * 31} here") for i in range(300)] + [(7, None), (8, ""), (9, ""), (301, "a b c d e f"), (301, "a b c d e f")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {}
+    monkeypatch.setattr(nj, "stored", lambda df, name, f=nj.stored: kept.setdefault(name, f(df, name)) if name == "join_unsure" else f(df, name))
+    got = nj.first_of_each(docs, 4, 80)
+    ids = sorted(r.doc_id for r in got.collect())
+    assert ids == sorted([1, *range(0, 300, 2), 7, 8, 9, 301])
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+    unsure = kept["join_unsure"].count()
+    assert unsure > 20 if places else unsure <= 6
