@@ -13,11 +13,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as S
 
-from netloom.functions.store import stored
 from netloom.llm import textops as T
 
 #: Tasks that make the features of a sample, and the bytes of features that the driver holds at most.
@@ -147,15 +147,24 @@ def labelled(docs: DataFrame, labels: DataFrame, column: str, learn: Column | No
 
 def bounded(rows: DataFrame, bytes_of: Column, total: int = TRAIN_BYTES) -> DataFrame:
     """The examples, of rows with a doc_id, that fill at most ``total`` bytes: in the
-    order of hashed ids, without those over a hundredth of it by themselves."""
-    rows = stored(rows.withColumn("bytes", bytes_of), "examples")
+    order of hashed ids, without those over a hundredth of it by themselves.  Rows are read twice."""
+    rows = rows.withColumn("bytes", bytes_of).where(F.col("bytes") <= total // 100)
     place = F.xxhash64(F.lit("sample"), F.col("doc_id"))
-    sizes = rows.where(F.col("bytes") <= total // 100).select(place.alias("p"), "bytes").orderBy("p").collect()  # a pair of numbers for each row of the sample
+    sizes = rows.select(place.alias("p"), "bytes").orderBy("p").collect()  # a pair of numbers for each row of the sample
     full = np.cumsum([r["bytes"] for r in sizes])
     kept = int(np.searchsorted(full, total, side="right"))
-    if kept == len(sizes):
-        return rows.where(F.col("bytes") <= total // 100)
-    return rows.where((F.col("bytes") <= total // 100) & (place < F.lit(sizes[kept]["p"])))
+    return rows if kept == len(sizes) else rows.where(place < F.lit(sizes[kept]["p"]))
+
+
+def fetched(rows: DataFrame, bytes_of: Column, total: int = TRAIN_BYTES) -> pa.Table:
+    """``bounded`` rows on the driver.  Executors keep the rows between the two readings in their
+    block managers, not as files of a table: Hadoop starts a chmod for each file that a task
+    writes, and until that runs it counts as a second process of the whole JVM's memory."""
+    held = rows.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return bounded(held, bytes_of, total).select(*rows.columns).toArrow()
+    finally:
+        held.unpersist()
 
 
 def examples(rows: DataFrame, features: Features) -> list[tuple[int, np.ndarray, int]]:
@@ -171,7 +180,7 @@ def examples(rows: DataFrame, features: Features) -> list[tuple[int, np.ndarray,
                 lists += [x.astype(np.int32).tobytes() for x in np.split(pair & ((1 << features.bits) - 1), cut)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(lists, pa.binary()), batch.column("y")], ["doc_id", "at", "y"])
 
-    got = bounded(rows.mapInArrow(made, "doc_id long, at binary, y int"), F.length("at")).select("doc_id", "at", "y").toArrow()
+    got = fetched(rows.mapInArrow(made, "doc_id long, at binary, y int"), F.length("at"))
     ids, ys = got["doc_id"].to_pylist(), got["y"].to_pylist()
     out = [(i, np.frombuffer(at.as_buffer(), np.int32), y) for i, at, y in zip(ids, got["at"], ys, strict=True)]  # views, not copies
     out.sort(key=lambda r: in_order(r[0]))

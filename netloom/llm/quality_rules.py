@@ -159,7 +159,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = TRAIN_ROWS) -> Model |
             yield pa.RecordBatch.from_arrays(cols, ["doc_id", "at", "gram", "n", "y"])
 
     size = sum((F.length(x) for x in ("gram", "n")), F.length("at"))
-    got = linear.bounded(rows.mapInArrow(made, "doc_id long, at binary, gram binary, n binary, y int"), size).select("doc_id", "at", "gram", "n", "y").toArrow()
+    got = linear.fetched(rows.mapInArrow(made, "doc_id long, at binary, gram binary, n binary, y int"), size)
     if not got.num_rows:
         return None
     order = sorted(range(got.num_rows), key=lambda i, ids=got["doc_id"].to_pylist(): linear.in_order(ids[i]))

@@ -6,6 +6,7 @@ import zlib
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from netloom.llm import linear, quality_classifier, quality_rules, toxicity
 from netloom.functions.store import table
@@ -114,6 +115,21 @@ def test_bytes_of_examples_are_bounded(spark):
     assert 90 <= len(kept) <= 100 and 7 not in {r.doc_id for r in kept}
 
 
+write = DataFrame.write
+
+
+@pytest.mark.parametrize("module", [toxicity, quality_classifier, quality_rules])
+def test_training_writes_no_table_and_leaves_nothing_cached(spark, monkeypatch, module):
+    docs = spark.range(40).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), F.col("id")).alias("text"))
+    labels = spark.range(40).select(F.col("id").alias("doc_id"), *((F.col("id") % 2).cast("int").alias(x) for x in ("quality", "toxic")))
+    written = []
+    monkeypatch.setattr(DataFrame, "write", property(lambda df: written.append(df) or write.fget(df)))
+    cached = spark.sparkContext._jsc.getPersistentRDDs().size()
+    module.fit(docs, labels)
+    assert written == []
+    assert spark.sparkContext._jsc.getPersistentRDDs().size() <= cached
+
+
 def test_a_column_of_the_score_gives_way(spark):
     docs = spark.createDataFrame([("x", "a b c", 3)], "Score string, text string, n_words int")
     model = linear.trained([], toxicity.FEATURES)
