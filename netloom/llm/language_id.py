@@ -40,6 +40,8 @@ SMOOTH = 0.05
 #: Pages read at a time, and text whose n-grams are held at once.
 SLICE_ROWS = 1000
 CHUNK_BYTES = 1 << 19
+#: Tasks' counts are added up in so many blocks of n-grams before the driver gets them.
+COUNT_BLOCKS = 64
 #: n-grams of a text are not independent: its log-likelihood counts at most as that of so many.
 MAX_GRAMS = 60.0
 #: Pseudo-counts: host towards domain, domain towards all; suffixes and declarations.
@@ -97,14 +99,31 @@ def train(docs: DataFrame, bound: int = TRAIN_TEXTS) -> Model:
             for c in T.chunks(batch.column("text"), CHUNK_BYTES):
                 doc, coord = _grams(c)
                 np.add.at(total, (coord, at[c.row0 + doc]), 1)
-        yield pa.RecordBatch.from_arrays([pa.array([total.astype(np.int32).tobytes()], pa.binary())], ["counts"])
+        flat = total.ravel()
+        at = np.flatnonzero(flat)
+        if len(at):
+            ends = pa.array(np.searchsorted(at, np.arange(COUNT_BLOCKS + 1) * (flat.size // COUNT_BLOCKS)), pa.int32())
+            held = [pa.ListArray.from_arrays(ends, pa.array(x, kind)) for x, kind in ((at, pa.int32()), (flat[at], pa.int64()))]
+            batch = pa.RecordBatch.from_arrays([pa.array(range(COUNT_BLOCKS), pa.int32()), *held], ["block", "at", "n"])
+            yield from (batch.slice(i, 1) for i in range(COUNT_BLOCKS))
+
+    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = key[0].as_py()
+        out = np.zeros((1 << BITS) // COUNT_BLOCKS * len(names), np.int64)
+        for batch in batches:
+            np.add.at(out, batch.column("at").flatten().to_numpy() - block * len(out), batch.column("n").flatten().to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([out.tobytes()], pa.binary())], ["block", "counts"])
 
     total = np.zeros((1 << BITS, len(names)))
     if names:
-        for r in picked.select("lang", "text").mapInArrow(counted, "counts binary").collect():  # eight rows of fixed size
-            total += np.frombuffer(r["counts"], np.int32).reshape(total.shape)
-    share = (total + SMOOTH) / (total.sum(0) + SMOOTH * len(total)) if names else total
-    return Model(names, np.log(share).astype(np.float32) if names else total.astype(np.float32))
+        blocks = picked.select("lang", "text").mapInArrow(counted, "block int, at array<int>, n array<long>").groupBy("block").applyInArrow(merged, "block int, counts binary")
+        for r in blocks.collect():  # COUNT_BLOCKS rows of fixed size, however many tasks count
+            total.reshape(COUNT_BLOCKS, -1)[r["block"]] = np.frombuffer(r["counts"], np.int64)
+        size = total.sum(0) + SMOOTH * len(total)
+        total += SMOOTH
+        total /= size
+        np.log(total, out=total)
+    return Model(names, total.astype(np.float32))
 
 
 def _read(model: Model):

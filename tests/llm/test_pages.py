@@ -1,10 +1,12 @@
 import collections
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from netloom.llm import language_id, license_scan, queries, web
+from netloom.llm import language_id, license_scan, queries, textops, web
 from netloom.functions.store import table
 from netloom.operators import joins
 
@@ -79,6 +81,30 @@ def test_language_edges(spark):
     assert language_id.identify(pages.limit(0), model).collect() == []
 
 
+@pytest.mark.parametrize("tasks", [1, 40])
+def test_training_sends_one_table_however_many_tasks_count(spark, monkeypatch, tasks):
+    texts = [(i, f"{'the cat' if i % 2 else 'le chien'} {chr(97 + i % 26) * 3} {i}", "en" if i % 2 else "fr") for i in range(80)] + [(80, " ", "xx")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    frame, sent = type(docs), []
+
+    def collect(self, f=frame.collect):
+        rows = f(self)
+        sent.extend(x for r in rows for x in r if isinstance(x, bytes | bytearray))
+        return rows
+
+    monkeypatch.setattr(frame, "repartition", lambda self, n, *cols, f=frame.repartition: f(self, tasks, *cols))
+    monkeypatch.setattr(frame, "collect", collect)
+    model = language_id.train(docs)
+    want = np.zeros((1 << language_id.BITS, 3))
+    for c in textops.chunks(pa.array([x for _, x, _ in texts])):
+        for doc, coord in zip(*language_id._grams(c), strict=True):
+            want[coord, ["en", "fr", "xx"].index(texts[c.row0 + doc][2])] += 1
+    assert model.languages == ["en", "fr", "xx"] and want[:, :2].any(0).all() and not want[:, 2].any()
+    share = (want + language_id.SMOOTH) / (want.sum(0) + language_id.SMOOTH * len(want))
+    assert np.array_equal(model.log_likelihood, np.log(share).astype(np.float32))
+    assert sum(map(len, sent)) <= 8 * want.size
+
+
 FILES = [
     (1, "r/LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction"),
     (2, "r/src/a.py", "import x\n"),
