@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netloom.functions.store import stored
@@ -148,11 +148,53 @@ def _read(model: Model):
     return run
 
 
-def _softmax(logs: list[Column]) -> list[Column]:
-    top = F.greatest(*logs) if len(logs) > 1 else logs[0]
-    e = [F.exp(x - top) for x in logs]
-    total = sum(e[1:], e[0])
-    return [x / total for x in e]
+def _softmax(logs: np.ndarray) -> np.ndarray:
+    e = np.exp(logs - logs.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def _matrix(column: pa.Array, k: int) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, k)
+
+
+def _lists(x: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1) * x.shape[1], pa.int32()), pa.array(x.ravel()))
+
+
+def _evidence(model: Model):
+    """What _read gives, and each text's own posterior."""
+    read = _read(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in read(batches):
+            own = _softmax(_matrix(batch.column("text"), len(model.languages)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, _lists(own)], [*batch.schema.names, "own"])
+
+    return run
+
+
+def _fused(languages: list[str], every: list[float]):
+    """The verdict of each page; h, d, s and m: the sums of its host, domain, suffix and declaration."""
+    k, n, all_pages = len(languages), sum(every), np.array(every)
+    base = (all_pages + 1.0) / (n + k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(i, SLICE_ROWS) for b in batches for i in range(0, b.num_rows, SLICE_ROWS)):
+            t, p, h, d, s, m = (_matrix(batch.column(x), k) for x in ("text", "own", "h", "d", "s", "m"))
+            left = lambda x, p=p: np.maximum(0.0, x - p)
+            size = lambda x: x.sum(1, keepdims=True)
+            domain = (left(d) + DOMAIN_WEIGHT * base) / (size(d) - 1 + DOMAIN_WEIGHT)
+            prior = (left(h) + HOST_WEIGHT * domain) / (size(h) - 1 + HOST_WEIGHT)
+            own_total = all_pages - p + KEY_WEIGHT
+            share = [(left(x) + KEY_WEIGHT * size(x) / max(n, 1.0)) / own_total for x in (s, m)]
+            q = _softmax(t + np.log(prior) + np.log(share[0]) + np.log(share[1]))
+            named = [pa.array([languages[j] for j in x.argmax(1)], pa.string()) for x in (q, p)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("page_id"), named[0], pa.array(q.max(1)), named[1], batch.column("declared"), batch.column("host")],
+                ["page_id", "lang", "probability", "text_lang", "declared", "host"],
+            )
+
+    return run
 
 
 def identify(pages: DataFrame, model: Model) -> DataFrame:
@@ -160,34 +202,13 @@ def identify(pages: DataFrame, model: Model) -> DataFrame:
     k = len(model.languages)
     if not k:
         return pages.select("page_id", F.lit(None).cast("string").alias("lang"), F.lit(None).cast("double").alias("probability"), F.lit(None).cast("string").alias("text_lang"), F.lit("").alias("declared"), web.host(F.col("url")).alias("host"))
-    read = pages.select("page_id", web.host(F.col("url")).alias("host"), "html").mapInArrow(_read(model), "page_id long, host string, declared string, text array<double>")
-    read = read.select("page_id", "host", F.regexp_extract("host", r"([^.]+\.[^.]+)$|^([^.]+)$", 0).alias("domain"), F.substring_index("host", ".", -1).alias("suffix"), "declared", *(F.col("text")[j].alias(f"t{j}") for j in range(k)))
-    own = _softmax([F.col(f"t{j}") for j in range(k)])
-    read = stored(read.select("*", *(x.alias(f"p{j}") for j, x in enumerate(own))), "language_evidence")
-    sums = lambda prefix: [F.sum(f"p{j}").alias(f"{prefix}{j}") for j in range(k)]
-    total = read.agg(*sums("a")).first()
-    every = [float(x or 0.0) for x in total]
-    n = sum(every)
-    base = [(x + 1.0) / (n + k) for x in every]
+    read = pages.select("page_id", web.host(F.col("url")).alias("host"), "html").mapInArrow(_evidence(model), "page_id long, host string, declared string, text array<double>, own array<double>")
+    read = stored(read.withColumns({"domain": F.regexp_extract("host", r"([^.]+\.[^.]+)$|^([^.]+)$", 0), "suffix": F.substring_index("host", ".", -1)}), "language_evidence")
+    # expressions grow with the languages, not with their square: the driver holds the plan
+    sums = [F.sum(F.col("own")[j]) for j in range(k)]
+    every = [float(x or 0.0) for x in read.agg(*sums).first()]
     out = read
-    for key, prefix in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m")):
-        out = by_key(out, stored(read.groupBy(key).agg(*sums(prefix)), f"language_{key}"), key)
-    logs = []
-    size = {x: sum((F.col(f"{x}{j}") for j in range(1, k)), F.col(f"{x}0")) for x in "hd"}
-    for j in range(k):
-        left = lambda x, j=j: F.greatest(F.lit(0.0), F.col(f"{x}{j}") - F.col(f"p{j}"))
-        domain = (left("d") + DOMAIN_WEIGHT * base[j]) / (size["d"] - 1 + DOMAIN_WEIGHT)
-        prior = (left("h") + HOST_WEIGHT * domain) / (size["h"] - 1 + HOST_WEIGHT)
-        own_total = F.lit(every[j]) - F.col(f"p{j}") + KEY_WEIGHT
-        share = [(left(x) + KEY_WEIGHT * sum((F.col(f"{x}{i}") for i in range(1, k)), F.col(f"{x}0")) / max(n, 1.0)) / own_total for x in "sm"]
-        logs.append(F.col(f"t{j}") + F.log(prior) + F.log(share[0]) + F.log(share[1]))
-    named = out.select("page_id", "host", "declared", *(x.alias(f"q{j}") for j, x in enumerate(_softmax(logs))), *(f"p{j}" for j in range(k)))
-    most = lambda x: F.greatest(*(F.col(f"{x}{j}") for j in range(k))) if k > 1 else F.col(f"{x}0")
-
-    def name(x: str) -> Column:
-        picked = F.lit(model.languages[-1])
-        for j in reversed(range(k)):
-            picked = F.when(F.col(f"{x}{j}") == most(x), F.lit(model.languages[j])).otherwise(picked)
-        return picked
-
-    return named.select("page_id", name("q").alias("lang"), most("q").alias("probability"), name("p").alias("text_lang"), "declared", "host")
+    for key, name in (("host", "h"), ("domain", "d"), ("suffix", "s"), ("declared", "m")):
+        out = by_key(out, stored(read.groupBy(key).agg(F.array(*sums).alias(name)), f"language_{key}"), key)
+    out = out.select("page_id", "host", "declared", "text", "own", "h", "d", "s", "m")
+    return out.mapInArrow(_fused(model.languages, every), "page_id long, lang string, probability double, text_lang string, declared string, host string")

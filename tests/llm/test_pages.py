@@ -72,6 +72,19 @@ def test_fusion_against_plain_python(spark, monkeypatch, broadcast):
     assert [r.probability for r in got] == pytest.approx([p for p, _ in want])
 
 
+def test_fusion_of_many_languages(spark):
+    names = [f"l{i:03d}" for i in range(language_id.MAX_LANGUAGES)]
+    docs = spark.createDataFrame([(i, f"word{x} {x}{chr(192 + i)}", x) for i, x in enumerate(names)], "doc_id long, text string, lang string")
+    model = language_id.train(docs)
+    rows = [(i, f"http://h{i % 3}.x.org/p" if i % 5 else None, f"<html lang={names[i] if i % 2 else 'q'}><p>word{names[i * 7]} {chr(192 + i * 7)}" if i % 9 else None) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    read = pages.select("page_id", web.host(F.col("url")).alias("host"), "html").mapInArrow(language_id._read(model), "page_id long, host string, declared string, text array<double>")
+    want = fused([(r.host, r.declared, r.text) for r in read.orderBy("page_id").collect()], len(names))
+    got = language_id.identify(pages, model).orderBy("page_id").collect()
+    assert [r.probability for r in got] == pytest.approx([p for p, _ in want])
+    assert model.languages == names and [r.lang for r in got if r.page_id % 9] == [names[-j] for i, (_, j) in enumerate(want) if i % 9]
+
+
 def test_language_edges(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     pages = spark.createDataFrame([(None, None, None), (1, "http://h", "<p>x"), (1, "http://h", "<p>x")], "page_id long, url string, html string")
