@@ -11,8 +11,11 @@ more.  Each set takes the l, up to MAX_MATCHES, of the least estimated cost:
 a longer prefix reads more postings, but a pair is verified only if it shares
 min(l, l') prefix tokens.
 
-The pairs of rare tokens are counted, and those with enough matches are verified
-by the whole sets.  A pair that shares a frequent prefix token (of many near
+The pairs of rare tokens are counted.  Those with enough matches are held against
+the sets' parity bitmaps, of about a bit for each token: two sets differ in no
+fewer tokens than their bitmaps do in bits, so a pair whose bitmaps differ too
+much is no link.  Only what is left is verified by the whole sets, in steps of
+bounded size.  A pair that shares a frequent prefix token (of many near
 copies, or of a passage that fills short documents) is compared at the first one
 of them instead.  The members of a frequent token are dealt by hash over parts of
 about CHUNK, as many as its estimate asks for, so that no task reads them all; the
@@ -37,7 +40,10 @@ hash of the text; an empty table gives an empty result; other columns are kept b
 from __future__ import annotations
 
 import bisect
+import itertools
+import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -93,31 +99,54 @@ def set_key(s: np.ndarray) -> int:
     return int(T.mix(np.array([np.add.reduce(T.mix(s * np.uint64(5)), dtype=np.uint64) ^ np.uint64(len(s))]))[0].view(np.int64)) or 1 if len(s) else 0
 
 
-SIGNED = "id long, tie long, key long, n int, block int, counts binary"
+#: Bits of the smallest parity bitmap.
+LEAST_BITS = 64
+
+
+def parity(s: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of a set's hashes: whether an odd number of them has it.  As many bits as the next power of two from the set's size."""
+    bits = max(LEAST_BITS, 1 << (len(s) - 1).bit_length()) if len(s) else LEAST_BITS
+    odd = np.bincount((s & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def apart(a: bytes, b: bytes) -> int:
+    """In how many tokens two sets differ at least, by their parity bitmaps; the longer one is folded to the other's length."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, bits = int.from_bytes(a, "little"), 8 * len(a)
+    while bits > 8 * len(b):
+        bits //= 2
+        x = (x & ((1 << bits) - 1)) ^ (x >> bits)
+    return (x ^ int.from_bytes(b, "little")).bit_count()
+
+
+SIGNED = "id long, tie long, key long, n int, bits binary, block int, counts binary"
 SIGNED_NAMES = [x.split()[0] for x in SIGNED.split(", ")]
 
 
 def _signed(k: int):
-    """(id, tie, set key, set size) of each document, and at a partition's end the blocks of its sketch."""
+    """(id, tie, set key, set size, parity bitmap) of each document, and at a partition's end the blocks of its sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << SKETCH_BITS, np.uint16)
         for batch in batches:
-            keys, sizes = [], []
+            keys, sizes, bits = [], [], []
             for c in T.chunks(batch.column("text")):
                 sets = list(sets_of(c, k))
                 keys += map(set_key, sets)
                 sizes += map(len, sets)
+                bits += map(parity, sets)
                 at, n = np.unique(np.concatenate(sets) >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 counts[at] = np.minimum(counts[at] + n, 65_535)
             ids = batch.column("id")
             none = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([ids, batch.column("tie"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), none.cast(pa.int32()), none.cast(pa.binary())], SIGNED_NAMES)
+            yield pa.RecordBatch.from_arrays([ids, batch.column("tie"), pa.array(keys, pa.int64()), pa.array(sizes, pa.int32()), pa.array(bits, pa.binary()), none.cast(pa.int32()), none.cast(pa.binary())], SIGNED_NAMES)
         if counts.any():
             blocks = counts.reshape(SKETCH_BLOCKS, -1)
             none = pa.nulls(SKETCH_BLOCKS)
             yield pa.RecordBatch.from_arrays(
-                [*[none.cast(pa.int64())] * 3, none.cast(pa.int32()), pa.array(np.arange(SKETCH_BLOCKS, dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
+                [*[none.cast(pa.int64())] * 3, none.cast(pa.int32()), none.cast(pa.binary()), pa.array(np.arange(SKETCH_BLOCKS, dtype=np.int32)), pa.array([b.tobytes() for b in blocks], pa.binary())],
                 SIGNED_NAMES,
             )
 
@@ -462,6 +491,47 @@ def _whole_sets(k: int, sent):
     return run
 
 
+def _likely(percent: int):
+    """Of pairs (x, y, a, b: sizes, p, q: parity bitmaps) those that may be links, with the bytes of their sets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = batch.column("a").to_numpy().astype(np.int64) + batch.column("b").to_numpy()
+            least = np.array([apart(p, q) for p, q in zip(batch.column("p").to_pylist(), batch.column("q").to_pylist(), strict=True)], np.int64)
+            mask = pa.array((100 + percent) * least <= (100 - percent) * n)
+            yield pa.RecordBatch.from_arrays([*(batch.column(x).filter(mask) for x in ("x", "y")), pa.array(8 * n).filter(mask)], ["x", "y", "size"])
+
+    return run
+
+
+#: Bytes of whole sets that are shuffled at a time, about.
+SETS_AT_A_TIME = 2_000_000_000
+
+
+def _of(i: int, n: int, *columns: str):
+    """Whether a row belongs to step i of n."""
+    return F.pmod(F.xxhash64(*columns), F.lit(n)) == i
+
+
+def _verified_links(pairs: DataFrame, members: DataFrame, sets: DataFrame, percent: int, every: bool) -> list[DataFrame]:
+    """Stored tables of links (x, y), each of a step of the pairs (x, y, size) or of the members of blocks."""
+    held = sets.agg(F.sum(F.length("items"))).first()[0] or 0
+    paired = pairs.agg(F.sum("size")).first()[0] or 0
+    n = math.ceil(math.sqrt((2 * held + paired) / SETS_AT_A_TIME)) or 1
+    links = []
+    for i, j in itertools.product(range(n), repeat=2):  # a step: the pairs of an n-th of the sets and another n-th
+        a = sets.where(_of(i, n, "key")).select(F.col("key").alias("x"), F.col("items").alias("a"))
+        b = sets.where(_of(j, n, "key")).select(F.col("key").alias("y"), F.col("items").alias("b"))
+        both = pairs.where(_of(i, n, "x") & _of(j, n, "y")).select("x", "y").join(a, "x").join(b, "y")
+        links.append(stored(both.mapInArrow(_verified(percent), "x long, y long"), "join_links"))
+    grouped = members.agg(F.sum(8 * F.col("n").cast("long"))).first()[0] or 0
+    n = math.ceil(grouped / SETS_AT_A_TIME) or 1
+    for i in range(n):
+        some = members.where(_of(i, n, "token", "c1", "c2")).join(sets, "key")
+        links.append(stored(some.groupBy("token", "c1", "c2").applyInArrow(_block(percent, every), "x long, y long"), "join_links"))
+    return links
+
+
 def _verified(percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -498,9 +568,10 @@ def components(links: DataFrame) -> DataFrame:
 def _links(texts: DataFrame, k: int, percent: int, every: bool = False) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(documents: id, tie, key, n; classes: key, first, copies; links between set keys).  texts: id, tie, text."""
     signed = stored(texts.mapInArrow(_signed(k), SIGNED), "join_signed")
-    known = signed.where(F.col("block").isNull()).select("id", "tie", "key", "n")
+    rows = signed.where(F.col("block").isNull())
+    known = rows.select("id", "tie", "key", "n")
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "tie")).alias("first")
-    classes = stored(known.where("key != 0").groupBy("key").agg(first, F.count("*").alias("copies")), "join_classes")
+    classes = stored(rows.where("key != 0").groupBy("key").agg(first, F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits")), "join_classes")
     sketch = texts.sparkSession.sparkContext.broadcast(sketch_of(signed.where(F.col("block").isNotNull()).select("block", "counts")))
     tokens = texts.select("text").mapInArrow(_prefixes(k, percent, sketch), PREFIXED)
     met = stored(tokens.repartition(F.col("token"), F.col("part")).sortWithinPartitions("token", "part", "key").mapInArrow(_met(percent), MET), "join_met")
@@ -514,7 +585,9 @@ def _links(texts: DataFrame, k: int, percent: int, every: bool = False) -> tuple
     two = two.join(chunks, ["token", "chunk"]).join(chunks.select("token", F.col("chunk").alias("chunk2"), *(F.col(f).alias(f + "2") for f in fields)), ["token", "chunk2"])
     wide = chunks.select("*", *none).unionByName(two).repartition(F.col("token"), F.col("chunk"), F.col("chunk2"))
     planned = stored(wide.mapInArrow(_planned(percent), PLANNED), "join_planned")
-    pairs = stored(rare.union(planned.where(F.col("x").isNotNull()).select("x", "y")).distinct(), "join_pairs")
+    pairs = rare.union(planned.where(F.col("x").isNotNull()).select("x", "y")).distinct()
+    pairs = pairs.join(classes.select(F.col("key").alias("x"), F.col("n").alias("a"), F.col("bits").alias("p")), "x").join(classes.select(F.col("key").alias("y"), F.col("n").alias("b"), F.col("bits").alias("q")), "y")
+    pairs = stored(pairs.mapInArrow(_likely(percent), "x long, y long, size long"), "join_pairs")
     discard(met)
     members = planned.where(F.col("key").isNotNull()).drop("x", "y")
 
@@ -522,12 +595,10 @@ def _links(texts: DataFrame, k: int, percent: int, every: bool = False) -> tuple
     wanted = classes.join(keys, "key").select(F.col("first.id").alias("id"), F.col("first.tie").alias("tie"))
     passes = texts.sparkSession.sparkContext.broadcast(filter_of(wanted))
     sets = stored(texts.select(_place().alias("place"), "text").mapInArrow(_whole_sets(k, passes), "key long, items binary").dropDuplicates(["key"]), "join_sets")
-    both = pairs.join(sets.select(F.col("key").alias("x"), F.col("items").alias("a")), "x").join(sets.select(F.col("key").alias("y"), F.col("items").alias("b")), "y")
-    blocks = members.join(sets, "key").groupBy("token", "c1", "c2").applyInArrow(_block(percent, every), "x long, y long")
-    links = stored(both.mapInArrow(_verified(percent), "x long, y long").union(blocks), "join_links")
+    links = _verified_links(pairs, members, sets, percent, every)
     for done in (planned, pairs, sets):
         discard(done)
-    return known, classes, links
+    return known, classes.select("key", "first", "copies"), reduce(DataFrame.union, links)
 
 
 def _texts(docs: DataFrame) -> DataFrame:

@@ -157,3 +157,56 @@ def test_first_of_each_shuffles_no_texts_that_a_place_decides(spark, monkeypatch
     assert "Join" not in plan
     unsure = kept["join_unsure"].count()
     assert unsure > 20 if places else unsure <= 6
+
+
+def test_bitmaps_differ_in_no_more_places_than_sets_do():
+    rng = np.random.default_rng(3)
+    for _ in range(300):
+        both, a, b = (rng.integers(0, 1 << 63, int(rng.integers(0, m)), dtype=np.uint64) for m in (400, 60, 300))
+        x, y = np.union1d(both, a), np.union1d(both, b)
+        assert nj.apart(nj.parity(x), nj.parity(y)) == nj.apart(nj.parity(y), nj.parity(x)) <= len(np.setxor1d(x, y))
+    x = rng.integers(0, 1 << 63, 500, dtype=np.uint64)
+    assert nj.apart(nj.parity(x), nj.parity(x)) == 0 and nj.apart(nj.parity(x), nj.parity(x + np.uint64(7))) > 100
+
+
+def half_alike():
+    """Ten groups of nine documents; those of a group share half their words, and the first two almost all."""
+    rng = random.Random(9)
+    words = lambda n: [f"v{rng.randrange(1 << 40)}" for _ in range(n)]
+    rows = []
+    for g in range(10):
+        shared = words(150)
+        rows += [(10 * g + i, " ".join(shared + words(75))) for i in range(9)]
+        rows[-8] = (10 * g + 1, rows[-9][1] + " more")
+    return rows
+
+
+def test_sets_are_shipped_only_for_pairs_that_may_be_links(spark, monkeypatch):
+    held = {}
+
+    def kept(df, name, store=nj.stored):
+        held.setdefault(name, []).append(out := store(df, name))
+        return out
+
+    monkeypatch.setattr(nj, "stored", kept)
+    monkeypatch.setattr(nj, "discard", lambda df: None)
+    rows = half_alike()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in nj.report(df).collect()} == brute(rows)
+    assert held["join_sets"][0].count() == 20  # of 90, all of which are candidates
+    assert held["join_pairs"][0].count() == 10
+
+
+def test_verification_in_steps(spark, monkeypatch):
+    df = spark.createDataFrame(corpus() + [(i + 1000, t) for i, t in half_alike()], "doc_id long, text string").repartition(3)
+    whole = sorted(tuple(r) for r in nj.joined(df).collect())
+    steps = []
+
+    def kept(df, name, store=nj.stored):
+        steps.append(name)
+        return store(df, name)
+
+    monkeypatch.setattr(nj, "stored", kept)
+    monkeypatch.setattr(nj, "SETS_AT_A_TIME", 40_000)
+    assert sorted(tuple(r) for r in nj.joined(df).collect()) == whole
+    assert steps.count("join_links") > 5
