@@ -63,3 +63,23 @@ def test_each_stage_on_what_its_predecessor_kept(spark, sf_dir):
 def test_run_gives_the_last_stage(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert {"doc_id", "n_tokens", "ids"} <= set(out.columns) and out.count() > 0
+
+
+def test_near_duplicates_ships_no_sets_of_documents_half_alike(spark, monkeypatch):
+    """Nine documents that share half their words pairwise are candidates, but only the copy with a word more is a link."""
+    from netloom.llm import ngram_join
+
+    held = {}
+
+    def kept(df, name, store=ngram_join.stored):
+        held[name] = store(df, name)
+        return held[name]
+
+    monkeypatch.setattr(ngram_join, "stored", kept)
+    monkeypatch.setattr(ngram_join, "discard", lambda df: None)
+    shared = " ".join(f"s{i}" for i in range(150))
+    rows = [(i, shared + " " + " ".join(f"d{i}x{j}" for j in range(75))) for i in range(9)]
+    rows.append((9, rows[0][1] + " more"))
+    got = corpus_pipeline.drop_near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in got.collect()) == list(range(9))
+    assert held["join_sets"].count() == 2
